@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from weirlake.llm.common import arrow_rows, batched, only, rows_of, union_all
+from weirlake.llm.common import arrow_rows, batched, only, rows_of, union_all, written
 
 RATE = 0.05
 SHORT = 32
@@ -162,3 +162,9 @@ def find(docs: DataFrame, items: DataFrame) -> DataFrame:
 
     found = [scan(b) for b in blocks(items)]
     return union_all(found) if found else spark.createDataFrame([], DDL)
+
+
+def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """docs without those that an item stands in. Rows with a null doc_id can't be named and stay."""
+    found = written(find(docs, items).select("doc_id").distinct(), "found")
+    return docs.join(found, "doc_id", "left_anti").select(docs.columns)

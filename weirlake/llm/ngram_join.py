@@ -366,3 +366,14 @@ def _kept_first(reps: DataFrame, meet) -> DataFrame:
             yield pa.record_batch([pa.array(flat[on]), pa.array(cid), pa.array(n)], ["shingle", "cid", "n"])
 
     return reps.select("cid", "n", "first").mapInArrow(run, "shingle long, cid long, n long")
+
+
+def deduplicate(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """docs with one document of each component, that with the smallest doc_id. Documents without words, and
+    rows with a null doc_id, stay. Rows that share a doc_id are one document: one of them stays."""
+    found = join(docs, n, percent)
+    gone = written(found.where("doc_id != component_id").select("doc_id").distinct(), "gone")
+    again = written(found.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id"), "again")
+    left = docs.join(gone, "doc_id", "left_anti")
+    one = left.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return left.join(again, "doc_id", "left_anti").unionByName(one).select(docs.columns)

@@ -33,7 +33,7 @@ LEXICON = 4_000
 LEAST_DOCS, LEAST_ODDS = 3, 3.0
 TREES, DEPTH, RATE, BINS = 60, 3, 0.15, 64
 NEAR = 5
-BEGINNING = 5
+BEGINNINGS = (4, 5)
 
 WORDS = re.compile(r"[^\W\d_]+")
 #: Second person, in the languages of common crawls. Fixed values.
@@ -50,7 +50,7 @@ FEATURES = (
 def terms(words: list[str]) -> set[str]:
     """Distinct words and, marked, word beginnings."""
     own = set(words)
-    return own | {w[:BEGINNING] + "*" for w in own if len(w) > BEGINNING}
+    return own | {w[:k] + "*" for w in own for k in BEGINNINGS if len(w) > k}
 
 
 def features(text: str, lexicon: dict[str, float]) -> list[float]:
@@ -58,7 +58,7 @@ def features(text: str, lexicon: dict[str, float]) -> list[float]:
     n = max(1, len(words))
     at = [i for i, w in enumerate(words) if w in lexicon]
     found = [words[i] for i in at]
-    begin = [w for w in words if len(w) > BEGINNING and w[:BEGINNING] + "*" in lexicon]
+    begin = [w for w in words if len(w) > BEGINNINGS[0] and any(w[:k] + "*" in lexicon for k in BEGINNINGS)]
     weights = sorted((lexicon[w] for w in set(found)), reverse=True)
     second = [i for i, w in enumerate(words) if w in SECOND]
     near = int(sum(bool(np.abs(np.array(second) - i).min() <= NEAR) for i in at)) if at and second else 0
