@@ -182,9 +182,11 @@ def redacted() -> Column:
 
 def sanitise(docs: DataFrame) -> DataFrame:
     """docs with text redacted and n_chars its length; other columns as they are. Null text stays null."""
-    columns = docs.columns
-    found = _term_spans(docs.withColumn("_was_null", F.col("text").isNull()))
-    out = found.withColumn("text", F.when(~F.col("_was_null"), redacted()))
-    if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(columns)
+    # The row travels as one value, so its columns' names clash with none used here.
+    found = _term_spans(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_all"), F.col("text")))
+    text = F.when(F.col("_all.text").isNotNull(), redacted())
+    out = found.select("_all", text.alias("text"))
+    new = {"text": F.col("text")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(F.col("text").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("_all.n_chars"))
+    return out.select(*(new.get(c, F.col(f"_all.`{c}`")).alias(c) for c in docs.columns))
