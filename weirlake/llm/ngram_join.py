@@ -4,17 +4,20 @@ Documents with the same set form a class, and classes are joined. The first pivo
 All shingles stand in one order, rare ones first, and a set is near the pivots of its own shingles. A set
 that is linked to another shares one of its first shingles with it, so these are the window of regions into
 which a set is replicated. By the triangle inequality with the empty set as pivot, linked sets have like
-sizes; regions are cut into rings of size with neighbours replicated. Regions with the same members are
-joined once. (Whole documents as first pivots would give no regions: nearly all sets lie at distance 1
-from nearly all others.)
+sizes; regions are cut into pairs of rings of size, and a pair of rings fixes how many first shingles its
+window needs: the nearer the sizes, the fewer. Windows are a little wider than they must be, as then linked
+sets share several first shingles: pairs of small regions are counted, and those with fewer are no longer
+looked at. Larger regions with the same members are joined once. (Whole documents as first pivots would
+give no regions: nearly all sets lie at distance 1 from nearly all others.)
 
 Within a region of more than LEAF sets, sets of the region are pivots: sets go to the Voronoi cell of
 their nearest pivot and to each cell whose pivot is farther by at most twice the radius. Sets within the
 radius of a pivot are linked to it, and so with one another in effect; of them only those are compared on
 that some set outside the radius can reach by the triangle inequality. Sets far from all pivots form a cell
-of their own. Cells are split again until they are small, and then all their pairs that are not linked
-yet are compared. Cells that don't get smaller are compared in pairs of blocks. Only links that connect
-something new are written, so a group of copies costs as many links as it has members.
+of their own. Cells are split again until they are small, and then all their pairs are compared by one
+matrix product. A region whose cells would hold more than half of it (near copies are all within a window)
+is compared in pairs of blocks instead. Only links that connect something new are written, so a group of
+copies costs as many links as it has members.
 
 The order rests on counts of all shingles of all documents in a table of fixed size. A second table of
 fixed size tells which first shingles may occur twice, and a third one which documents' sets are needed
@@ -32,7 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weirlake.llm import words as W
@@ -40,9 +43,13 @@ from weirlake.llm.common import arrow_rows, batched, only, rows_of, union_all, u
 from weirlake.llm.graph import components
 
 COUNTERS = 22  # bits of the place in the table of counts; 4 million counters
-TWICE = 26  # bits of the place in the other tables; 8 MB
+TWICE, WANTED = 28, 26  # bits of the place in the other tables; 32 and 8 MB
 CHUNK = 16  # bits of a place within a chunk that travels as one row
-LEAF = 256
+LEAF, LEAF_SHINGLES = 2048, 4_000_000  # what one task compares at a time
+RINGS = 4  # to the ratio of sizes that linked sets have at most
+SPARE = 0.02  # of a set's shingles: by how many a window is wider, and so many more are shared
+SMALL_REGION = 8
+FEW = 12
 PIVOTS = 8
 LEVELS = 4
 FAR = 0.7
@@ -53,8 +60,8 @@ def place(h: np.ndarray, bits: int) -> np.ndarray:
 
 
 def prefix_size(n: int, percent: int) -> int:
-    """How many shingles of n can be missing from a linked set, and one more."""
-    return n - (percent * n + 99) // 100 + 1
+    """How many shingles of n can be missing from a linked set, and one more, and the spare ones."""
+    return min(n, n - (percent * n + 99) // 100 + 1 + int(n * SPARE))
 
 
 def linked(inter: int, a: int, b: int, percent: int) -> bool:
@@ -79,6 +86,20 @@ def _chunks(counts: np.ndarray) -> Iterator[tuple]:
             yield k >> CHUNK, own.astype("<u1" if top < 256 else "<u2" if top < 65536 else "<u4").tobytes()
 
 
+def _sparse(places: np.ndarray, counts: np.ndarray) -> Iterator[tuple]:
+    """Chunks of a table that has few places: sorted distinct places and their counts, at most 255."""
+    chunk = places >> CHUNK
+    cuts = np.concatenate((np.flatnonzero(np.concatenate(([True], chunk[1:] != chunk[:-1]))), [len(places)])) if len(places) else np.zeros(1, np.int64)
+    low, few = (places & ((1 << CHUNK) - 1)).astype("<u2"), np.minimum(counts, 255).astype(np.uint8)
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        yield int(chunk[a]), low[a:b].tobytes() + few[a:b].tobytes()
+
+
+def _spread(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = len(data) // 3
+    return np.frombuffer(data, "<u2", n).astype(np.int64), np.frombuffer(data, np.uint8, n, 2 * n)
+
+
 def _unpacked(data: bytes) -> np.ndarray:
     return np.frombuffer(data, f"<u{len(data) >> CHUNK}")
 
@@ -89,8 +110,14 @@ def _summed(rows: DataFrame, bits: int, as_bits: bool) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for chunk, data in rows_of(batches, "chunk", "data"):
-            own = total.setdefault(chunk, np.zeros(1 << CHUNK, np.int64))
-            own += _unpacked(data)
+            own = total.get(chunk)
+            if own is None:
+                own = total[chunk] = np.zeros(1 << CHUNK, np.uint16 if as_bits else np.int64)
+            if as_bits:
+                at, k = _spread(data)
+                own[at] = np.minimum(own[at] + k.astype(np.uint16), 255)
+            else:
+                own += _unpacked(data)
         out = ((k, np.packbits(v >= 2).tobytes() if as_bits else np.minimum(v, (1 << 31) - 1).astype("<u4").tobytes()) for k, v in total.items())
         yield from batched(out, pa.schema([("chunk", pa.int64()), ("data", pa.binary())]), 16)
 
@@ -98,7 +125,7 @@ def _summed(rows: DataFrame, bits: int, as_bits: bool) -> np.ndarray:
     parts = min(n, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     width = (1 << CHUNK) // 8 if as_bits else 4 << CHUNK
     out = np.zeros(n * width, np.uint8)
-    for r in rows.repartition(parts, "chunk").mapInArrow(run, "chunk long, data binary").toLocalIterator():  # at most 2 ** bits entries
+    for r in rows.repartition(parts, "chunk").mapInArrow(run, "chunk long, data binary").collect():  # 32 MB at most
         out[r[0] * width : (r[0] + 1) * width] = np.frombuffer(r[1], np.uint8)
     return out if as_bits else out.view("<u4")
 
@@ -143,15 +170,12 @@ def document_sets(docs: DataFrame, n: int, percent: int, counts) -> DataFrame:
 
 
 def _may_meet(first: DataFrame) -> np.ndarray:
-    """Which first shingles may occur in two classes."""
+    """Which first shingles may occur in two documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << TWICE, np.uint8)
-        for b in batches:
-            at = place(b.column(0).flatten().to_numpy(zero_copy_only=False).view(np.uint64), TWICE)
-            at, k = np.unique(at, return_counts=True)
-            counts[at] = np.minimum(counts[at] + k, 2)
-        yield from batched(_chunks(counts), pa.schema([("chunk", pa.int64()), ("data", pa.binary())]), 64)
+        held: list[np.ndarray] = [b.column(0).flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) for b in batches]
+        at, k = np.unique(place(np.concatenate(held), TWICE), return_counts=True) if held else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        yield from batched(_sparse(at, k), pa.schema([("chunk", pa.int64()), ("data", pa.binary())]), 1000)
 
     return _summed(first.select("first").mapInArrow(run, "chunk long, data binary"), TWICE, True)
 
@@ -160,12 +184,11 @@ def _needed_bits(needed: DataFrame) -> np.ndarray:
     """The table of the documents whose sets are wanted: (doc_id, s1, s2) each counts twice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << TWICE, np.uint8)
-        for b in batches:
-            counts[place(_row_hash(*(b.column(i) for i in range(3))), TWICE)] = 2
-        yield from batched(_chunks(counts), pa.schema([("chunk", pa.int64()), ("data", pa.binary())]), 64)
+        held = [place(_row_hash(*(b.column(i) for i in range(3))), WANTED) for b in batches]
+        at = np.unique(np.concatenate(held)) if held else np.zeros(0, np.int64)
+        yield from batched(_sparse(at, np.full(len(at), 2)), pa.schema([("chunk", pa.int64()), ("data", pa.binary())]), 1000)
 
-    return _summed(needed.mapInArrow(run, "chunk long, data binary"), TWICE, True)
+    return _summed(needed.mapInArrow(run, "chunk long, data binary"), WANTED, True)
 
 
 def _row_hash(doc_id: pa.Array, s1: pa.Array, s2: pa.Array) -> np.ndarray:
@@ -186,7 +209,7 @@ def _sets_of(docs: DataFrame, n: int, bits) -> DataFrame:
                 s = W.shingles(utf8(text), n)
                 if len(s):
                     sig = signature(s)
-                    if _has(table, place(_row_hash(*(pa.array([x], pa.int64()) for x in (doc_id, *sig))), TWICE))[0]:
+                    if _has(table, place(_row_hash(*(pa.array([x], pa.int64()) for x in (doc_id, *sig))), WANTED))[0]:
                         yield (doc_id, *sig, s.view(np.int64))
 
         yield from batched(rows(), schema, 100)
@@ -204,9 +227,43 @@ def _common(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[at] == a).sum())
 
 
+def _linked_pairs(sets: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which of the sets are linked, as a square of truth values. Shingles of one set alone can't be common."""
+    k, size = len(sets), np.array([len(s) for s in sets])
+    owner = np.repeat(np.arange(k), size)
+    _, at, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    column = np.cumsum(count > 1) - 1
+    on = count[at] > 1
+    at, owner = column[at[on]], owner[on]
+    order = np.argsort(at, kind="stable")
+    at, owner = at[order], owner[order]
+    common, width = np.zeros((k, k), np.float32), max(256, (8 << 20) // k)
+    for first in range(0, int(at[-1]) + 1 if len(at) else 0, width):
+        lo, hi = np.searchsorted(at, [first, first + width])
+        some = np.zeros((k, width), np.float32)
+        some[owner[lo:hi], at[lo:hi] - first] = 1
+        common += some @ some.T
+    return (100 + percent) * common.astype(np.float64) >= percent * (size[:, None] + size[None, :])
+
+
 def connect(ids: list[int], sets: list[np.ndarray], balls: list[int | None], percent: int) -> Iterator[tuple[int, int]]:
     """Links that connect the sets of a small group as all links would. balls: sets with the same one are
     connected already."""
+    if len(ids) > FEW:
+        on = _linked_pairs(sets, percent)
+        left = np.ones(len(ids), bool)
+        for i in range(len(ids)):
+            if not left[i]:
+                continue
+            left[i], queue = False, [i]
+            while queue:
+                j = queue.pop()
+                for x in np.flatnonzero(on[j] & left):
+                    left[x] = False
+                    queue.append(int(x))
+                    if ids[x] != ids[j]:
+                        yield ids[j], ids[int(x)]
+        return
     order = sorted(range(len(ids)), key=lambda i: (len(sets[i]), ids[i]))
     root = list(range(len(ids)))
 
@@ -230,8 +287,8 @@ def connect(ids: list[int], sets: list[np.ndarray], balls: list[int | None], per
                     yield ids[i], ids[j]
 
 
-def _leaf_links(members: DataFrame, percent: int) -> DataFrame:
-    """Links of the groups (region, cid, ball, set), each in one task and at most a few times LEAF rows."""
+def _leaf_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links of the groups (region, cid, ball), each in one task."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,63 +310,75 @@ def _leaf_links(members: DataFrame, percent: int) -> DataFrame:
 
         yield from batched((link for own in groups() for link in connect(*own, percent)), schema)
 
-    dealt = members.select("region", "cid", "ball", "set").repartition("region").sortWithinPartitions("region")
+    dealt = members.join(sets, KEY).select("region", "cid", "ball", "set").repartition("region").sortWithinPartitions("region")
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def _blocks(members: DataFrame) -> DataFrame:
-    """Groups as pairs of blocks of LEAF: every two sets meet in a group of at most two blocks."""
-    n = F.ceil(F.col("k") / LEAF).cast("int")
-    own = F.pmod(F.xxhash64("cid"), n).cast("int")
-    pairs = members.withColumns({"own": own, "other": F.explode(F.sequence(F.lit(0), n - 1))})
-    return pairs.withColumn("region", F.xxhash64("region", F.least("own", "other"), F.greatest("own", "other"))).drop("own", "other")
+#: A class by its set and the document that stands for it.
+KEY = ["s1", "s2", "own"]
+MEMBER = ["region", "cid", "n", "ball", *KEY]
 
 
 def _with_size(members: DataFrame) -> DataFrame:
-    """members with k, the number of their region's rows."""
-    k = written(members.groupBy("region").agg(F.count("*").alias("k"), F.count_if(F.col("ball").isNull()).alias("free")), "sizes")
-    return members.drop("k", "free").join(k, "region").where("k > 1 and free > 0")
+    """members with k, the number of their region's rows, and blocks, in how many pieces of half a leaf it is."""
+    sizes = members.groupBy("region").agg(F.count("*").alias("k"), F.sum("n").alias("weight"), F.count_if(F.col("ball").isNull()).alias("free"))
+    blocks = F.greatest(F.ceil(2 * F.col("k") / LEAF), F.ceil(2 * F.col("weight") / LEAF_SHINGLES)).cast("int")
+    sizes = written(sizes.where("k > 1 and free > 0").select("region", "k", blocks.alias("blocks")), "sizes")
+    return written(members.select(MEMBER).join(sizes, "region"), "sized")
+
+
+def _in_blocks(members: DataFrame) -> DataFrame:
+    """Groups as pairs of blocks: every two sets meet in a group of two blocks, a leaf's worth."""
+    n = F.col("blocks")
+    pairs = members.withColumns({"own": F.pmod(F.xxhash64("cid"), n).cast("int"), "other": F.explode(F.sequence(F.lit(0), n - 1))})
+    return pairs.withColumn("region", F.xxhash64("region", F.least("own", "other"), F.greatest("own", "other"))).select(MEMBER)
 
 
-def _cells(big: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Links to the pivots of each region, and the members (region, cid, n, ball, set) of its cells."""
+def _cells(big: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Links to the pivots of each region, members of its cells, and members of the regions that cells don't split."""
     r = 1 - percent / 100 + 1e-9
-    free = big.where("ball is null")
-    chosen = free.groupBy("region", F.pmod(F.xxhash64("cid"), F.lit(PIVOTS)).alias("slot")).agg(F.min("cid").alias("cid"))
+    chosen = big.where("ball is null").groupBy("region", F.pmod(F.xxhash64("cid"), F.lit(PIVOTS)).alias("slot")).agg(F.min("cid").alias("cid"))
     chosen = written(chosen.select("region", "cid"), "chosen")
-    pivots = free.join(chosen, ["region", "cid"]).groupBy("region").agg(F.collect_list(F.struct("cid", "n", "set")).alias("pivots"))  # at most PIVOTS
-    pivots = written(pivots, "pivots")
+    pivots = big.join(chosen, ["region", "cid"]).join(sets, KEY)
+    pivots = written(pivots.groupBy("region").agg(F.collect_list(F.struct("cid", "n", "set")).alias("pivots")), "pivots")  # at most PIVOTS each
     inter = lambda p: F.size(F.array_intersect(F.col("set"), p["set"]))
     near = F.transform("pivots", lambda p: F.struct(p["cid"].alias("pivot"), p["n"].alias("pn"), inter(p).alias("i")))
     near = F.transform(
         near,
         lambda x: F.struct((1 - x["i"] / (F.col("n") + x["pn"] - x["i"])).alias("d"), x["pivot"].alias("pivot"), (100 * x["i"] >= percent * (F.col("n") + x["pn"] - x["i"])).alias("linked")),
     )
-    at = written(big.join(pivots, "region").withColumn("near", near).drop("pivots").withColumn("home", F.array_min(F.transform("near", lambda x: x["d"]))), "near")
+    at = big.join(sets, KEY).join(pivots, "region").withColumn("near", near).select(*MEMBER, "k", "blocks", "near")
+    at = written(at.withColumn("home", F.array_min(F.transform("near", lambda x: x["d"]))), "near")
     links = at.select("cid", F.explode(F.filter("near", lambda x: x["linked"])).alias("x")).select(F.col("cid").alias("a"), F.col("x.pivot").alias("b")).where("a != b")
     # Cells of near sets. Those within the radius stay only where a set beyond it can reach them.
-    cell = at.where(F.col("home") <= FAR).select("region", "cid", "n", "set", "ball", F.explode(F.filter("near", lambda x: x["d"] <= F.col("home") + 2 * r)).alias("x"))
-    cell = cell.select(F.xxhash64("region", "x.pivot").alias("region"), "cid", "n", "set", F.when(F.col("x.linked"), F.col("x.pivot")).otherwise(F.col("ball")).alias("ball"), F.col("x.linked").alias("core"), F.col("x.d").alias("d"))
+    cell = at.where(F.col("home") <= FAR).withColumns({"x": F.explode(F.filter("near", lambda x: x["d"] <= F.col("home") + 2 * r)), "parent": F.col("region")})
+    cell = cell.withColumns({"region": F.xxhash64("parent", "x.pivot"), "ball": F.when(F.col("x.linked"), F.col("x.pivot")).otherwise(F.col("ball")), "core": F.col("x.linked"), "d": F.col("x.d")}).drop("near", "x")
     reach = written(cell.where("not core").groupBy("region").agg(F.min("d").alias("reach")), "reach")
     cell = cell.join(reach, "region").where(~F.col("core") | (F.col("d") + r >= F.col("reach")))
-    rest = at.where(F.col("home") > FAR - r).withColumn("region", F.xxhash64("region", F.lit(0)))
-    columns = ["region", "cid", "n", "ball", "set"]
-    return links, cell.select(columns).unionByName(rest.select(columns))
+    rest = at.where(F.col("home") > FAR - r).withColumns({"parent": F.col("region"), "region": F.xxhash64("region", F.lit(0))})
+    cells = written(cell.select(*MEMBER, "parent", "k").unionByName(rest.select(*MEMBER, "parent", "k")), "cells")
+    stuck = cells.groupBy("parent", "region").agg(F.count("*").alias("m"), F.first("k").alias("k")).where(2 * F.col("m") > F.col("k")).select(F.col("parent").alias("region")).distinct()
+    stuck = written(stuck, "stuck")
+    return links, cells.join(stuck.withColumnRenamed("region", "parent"), "parent", "left_anti").select(MEMBER), at.join(stuck, "region", "left_semi").select(*MEMBER, "blocks")
 
 
-def links(members: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) that connect what is linked within the regions (region, cid, n, set)."""
+def links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that connect what is linked within the regions. members: region, cid, n and KEY; sets: KEY, set."""
     found: list[DataFrame] = []
     now = _with_size(members.withColumn("ball", F.lit(None).cast("long")))
+    small, large = F.col("blocks") <= 2, F.col("blocks") > 2
+    leaves = [now.where(small)]
     for _ in range(LEVELS):
-        big = now.where(F.col("k") > LEAF)
+        big = now.where(large)
         if big.isEmpty():
             break
-        found.append(_leaf_links(now.where(F.col("k") <= LEAF), percent))
-        own, cells = _cells(big, percent)
+        own, cells, stuck = _cells(big, sets, percent)
         found.append(own)
-        now = _with_size(written(cells, "cells"))
-    found += [_leaf_links(now.where(F.col("k") <= LEAF), percent), _leaf_links(_blocks(now.where(F.col("k") > LEAF)), percent)]
+        now = _with_size(cells)
+        leaves += [_in_blocks(stuck), now.where(small)]
+    else:
+        leaves.append(_in_blocks(now.where(large)))
+    found.append(_leaf_links(union_all([x.select(MEMBER) for x in leaves]), sets, percent))
     return written(union_all(found), "links")
 
 
@@ -321,28 +390,27 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     arrow_rows(spark)
     counts = sc.broadcast(shingle_counts(docs, n))  # 16 MB
     sets = written(document_sets(docs, n, percent, counts), "sets")
+    counts.unpersist()
     sig = ["s1", "s2"]
     classes = sets.where("n_shingles > 0").groupBy(*sig).agg(F.min("doc_id").alias("class_id"))
     classes = written(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
-    own = sets.join(classes, sig).where(F.col("doc_id").eqNullSafe(F.col("class_id")))
-    reps = written(own.select("cid", F.col("n_shingles").alias("n"), "class_id", *sig, "first"), "reps")
-
-    meet = sc.broadcast(_may_meet(reps))  # 8 MB
-    may = _kept_first(reps, meet)
-    twice = written(may.groupBy("shingle").agg(F.count("*").alias("k")).where("k > 1").select("shingle"), "twice")
-    ring = F.floor(F.log(F.col("n")) / float(np.log(100 / percent)) + 1e-9)
-    ringed = may.join(twice, "shingle").withColumn("ring", F.explode(F.array(ring, ring + 1)))
-    ringed = written(ringed.select(F.xxhash64("shingle", "ring").alias("region"), "cid"), "ringed")
-    same = ringed.groupBy("region").agg(F.count("*").alias("k"), F.sum(F.shiftright(F.xxhash64("cid"), 16)).alias("h1"), F.bit_xor(F.xxhash64("cid", F.lit(1))).alias("h2")).where("k > 1")
-    regions = written(same.groupBy("k", "h1", "h2").agg(F.min("region").alias("region")).select("region"), "regions")
-    members = written(ringed.join(regions, "region"), "members")
-
-    wanted = members.select("cid").distinct().join(reps.select("cid", "n", F.col("class_id").alias("doc_id"), *sig), "cid")
-    wanted = written(wanted, "wanted")
-    bits = sc.broadcast(_needed_bits(wanted.select("doc_id", *sig)))  # 8 MB
-    whole = _sets_of(docs, n, bits).join(wanted.withColumnRenamed("doc_id", "own_id"), sig).where(F.col("doc_id").eqNullSafe(F.col("own_id"))).select("cid", "n", "set")
-    whole = written(whole, "whole")
-    found = links(members.join(whole, "cid").select("region", "cid", "n", "set"), percent)
+
+    meet = sc.broadcast(_may_meet(sets.where("n_shingles > 0").select("first")))  # 32 MB
+    may = _kept_first(sets.where("n_shingles > 0"), meet).join(classes, sig).where(F.col("doc_id").eqNullSafe(F.col("class_id")))
+    may = may.select("cid", "n", F.explode(F.arrays_zip("kept", "at")).alias("x")).select(F.col("x.kept").alias("shingle"), F.col("x.at").alias("place"), "cid", "n")
+    ringed = written(_regions(may, percent), "ringed")
+    meet.unpersist()
+    large = ringed.where(F.col("k") > SMALL_REGION)
+    regions = written(large.groupBy("k", "h1", "h2").agg(F.min("region").alias("region")).select("region"), "large")
+    members = large.join(regions, "region").select("region", "cid").unionByName(_stars(ringed.where(F.col("k") <= SMALL_REGION)))
+    keys = sets.where("n_shingles > 0").select("doc_id", F.col("n_shingles").alias("n"), *sig)
+    ids = classes.join(keys.groupBy(*sig).agg(F.min("n").alias("n")), sig)
+    members = members.join(ids, "cid")
+    members = written(members.select("region", "cid", "n", *sig, F.coalesce("class_id", F.lit(-1)).alias("own")), "members")
+
+    bits = sc.broadcast(_needed_bits(members.select("own", *sig).distinct()))  # 8 MB
+    whole = written(_sets_of(docs, n, bits).select(*sig, F.coalesce("doc_id", F.lit(-1)).alias("own"), "set"), "whole")
+    found = links(members, whole, percent)
 
     labels = components(found)
     named = classes.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
@@ -354,18 +422,64 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     return out.select("doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"))
 
 
-def _kept_first(reps: DataFrame, meet) -> DataFrame:
-    """A row for each first shingle of each class that may occur in another: shingle, cid, n."""
-
+def _kept_first(sets: DataFrame, meet) -> DataFrame:
+    """The first shingles of each document that may occur in another one, with their place in its order."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            flat = b.column(2).flatten().to_numpy(zero_copy_only=False)
-            size = np.diff(b.column(2).offsets.to_numpy())
+            flat = b.column(4).flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            size = np.diff(b.column(4).offsets.to_numpy()).astype(np.int64)
+            ends = np.cumsum(size)
+            at = np.arange(len(flat)) - np.repeat(ends - size, size)
             on = _has(meet.value, place(flat.view(np.uint64), TWICE))
-            cid, n = (np.repeat(b.column(i).to_numpy(zero_copy_only=False), size)[on] for i in (0, 1))
-            yield pa.record_batch([pa.array(flat[on]), pa.array(cid), pa.array(n)], ["shingle", "cid", "n"])
-
-    return reps.select("cid", "n", "first").mapInArrow(run, "shingle long, cid long, n long")
+            offsets = np.concatenate(([0], np.concatenate(([0], np.cumsum(on)))[ends])).astype(np.int32)
+            kept = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(x)) for x in (flat[on], at[on].astype(np.int32))]
+            yield pa.record_batch([*(b.column(i) for i in range(4)), *kept], ["doc_id", "n", "s1", "s2", "kept", "at"])
+
+    return sets.select("doc_id", "n_shingles", "s1", "s2", "first").mapInArrow(run, "doc_id long, n long, s1 long, s2 long, kept array<long>, at array<int>")
+
+
+def _stars(small: DataFrame) -> DataFrame:
+    """Members of small regions (region, spare, cid) as stars: each class with the later ones that it shares enough
+    first shingles with. A linked pair shares spare + 1 at least; where it meets in a large region as well, that
+    counts instead. A pair that both lie in the star of a third class is left to that star."""
+    own = small.groupBy("region").agg(F.sort_array(F.collect_set("cid")).alias("cids"), F.first("spare").alias("spare"))  # SMALL_REGION at most
+    later = F.transform("cids", lambda a: F.transform(F.filter("cids", lambda b: b > a), lambda b: F.struct(a.alias("a"), b.alias("b"))))
+    pairs = own.select(F.explode(F.flatten(later)).alias("x"), "spare").groupBy("x.a", "x.b").agg(F.count("*").alias("shared"), F.max("spare").alias("spare"))
+    pairs = written(pairs.where("shared > spare").select("a", "b"), "pairs")
+    least = pairs.groupBy(F.col("b").alias("cid")).agg(F.min("a").alias("least"))
+    least = written(least, "least")
+    first = lambda c: least.select(F.col("cid").alias(c), F.col("least").alias(f"least_{c}"))
+    seen = pairs.join(first("a"), "a", "left").join(first("b"), "b")
+    seen = seen.where(F.col("least_a").isNull() | (F.col("least_a") != F.col("least_b")))
+    arms = written(seen.select("a", "b"), "arms")
+    star = lambda c: F.xxhash64(c, F.lit("star"))
+    return arms.select(star("a").alias("region"), F.col("b").alias("cid")).unionByName(arms.select(star("a").alias("region"), F.col("a").alias("cid")).distinct())
+
+
+def _regions(may: DataFrame, percent: int) -> DataFrame:
+    """First shingles (shingle, place, cid, n) by region: a shingle and the rings of two sizes. A set is in the region
+    of its own ring and another if, with the least size of that ring, its window reaches the shingle's place. Only
+    regions of several sets, and of both rings, stay. Rows are dealt by shingle once; all that follows is within
+    their partitions. Frequent shingles come last in every order, so the rows of one are few and they are narrow."""
+    t = percent / 100
+    step = -np.log(t) / RINGS * (1 + 1e-9)
+    n = F.col("n")
+    out = may.repartition("shingle").withColumn("again", F.count("*").over(Window.partitionBy("shingle"))).where("again > 1").drop("again")
+    out = out.withColumn("ring", F.floor(F.log(n) / step + 1e-9).cast("int"))
+    out = out.withColumn("other", F.explode(F.sequence(F.col("ring") - RINGS - 1, F.col("ring") + RINGS + 1))).where("other >= 0")
+    least = F.greatest(F.floor(F.exp(F.col("other") * step) - 1e-6), F.ceil(n * t - 1e-9))
+    overlap = F.ceil((n + least) * (percent / (100 + percent)) - 1e-6)
+    # Both sides take the same spare: by the least size of the smaller ring.
+    spare = F.floor(F.floor(F.exp(F.least("ring", "other") * step) - 1e-6) * SPARE - 1e-6).cast("int")
+    out = out.withColumn("spare", F.greatest(F.lit(0), spare)).where(F.col("place") < n - overlap + 1 + F.col("spare"))
+    out = out.withColumns({"low": F.least("ring", "other"), "high": F.greatest("ring", "other")})
+    own = Window.partitionBy("shingle", "low", "high")
+    out = out.withColumns({
+        "k": F.count("*").over(own), "r0": F.min("ring").over(own), "r1": F.max("ring").over(own),
+        "h1": F.sum(F.shiftright(F.xxhash64("cid"), 16)).over(own), "h2": F.bit_xor(F.xxhash64("cid", F.lit(1))).over(own),
+    })
+    out = out.where("k > 1 and r0 = low and r1 = high")
+    return out.select(F.xxhash64("shingle", "low", "high").alias("region"), "k", "h1", "h2", "spare", "cid")
 
 
 def deduplicate(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
