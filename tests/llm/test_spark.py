@@ -169,6 +169,36 @@ def test_join_of_a_large_group_of_near_copies(spark, monkeypatch):
     assert got == want
 
 
+def test_regions_of_several_balls_are_joined(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "LEAF", 8)
+    monkeypatch.setattr(ngram_join, "PIVOTS", 2)
+    # Chains of versions, of which each is linked to the next alone: every link counts.
+    sets = [[1000 * chain + 4 * version + x for x in range(50)] for chain in range(4) for version in range(60)]
+    rows = [(1, cid, len(s), cid, cid, cid, s) for cid, s in enumerate(sets)]
+    df = spark.createDataFrame(rows, "region long, cid long, n long, s1 long, s2 long, own long, set array<long>")
+    found = ngram_join.links(df.drop("set"), df.select("s1", "s2", "own", "set"), 85)
+    root = list(range(len(sets)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for r in found.collect():
+        assert len(set(sets[r.a]) & set(sets[r.b])) * 100 >= 85 * len(set(sets[r.a]) | set(sets[r.b]))
+        root[find(r.a)] = find(r.b)
+    assert len({find(i) for i in range(len(sets))}) == 4
+
+
+def test_only_one_ball_is_connected_already(spark):
+    rows = [(1, 10, 3, 7), (1, 11, 3, 8), (2, 12, 3, 7), (2, 13, 3, 7), (3, 14, 3, None), (3, 15, 3, 7)]
+    df = spark.createDataFrame([(*r, r[1], r[1], r[1]) for r in rows], "region long, cid long, n long, ball long, s1 long, s2 long, own long")
+    sized = ngram_join._with_size(df)
+    assert {r.region for r in sized.collect()} == {1, 3}
+    # Blocks keep the key by which the sets are found.
+    assert {(r.cid, r.own) for r in ngram_join._in_blocks(sized).collect()} == {(c, c) for c in (10, 11, 14, 15)}
+
+
 def test_archives(spark, tmp_path):
     pages = [(3, "http://b.example/x", "same"), (1, "https://a.example/", "same"), (2, None, None), (4, "http://www.a.example:80/y?q#z", "é\r\n\r\nWARC/1.1\r\n"), (5, "u", ""), (4, "http://a.example/y", "é\r\n\r\nWARC/1.1\r\n"), (None, "n", "other")]
     df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("date", F.lit(1))

@@ -321,23 +321,27 @@ MEMBER = ["region", "cid", "n", "ball", *KEY]
 
 def _with_size(members: DataFrame) -> DataFrame:
     """members with k, the number of their region's rows, and blocks, in how many pieces of half a leaf it is."""
-    sizes = members.groupBy("region").agg(F.count("*").alias("k"), F.sum("n").alias("weight"), F.count_if(F.col("ball").isNull()).alias("free"))
+    balls = [F.count_if(F.col("ball").isNull()).alias("free"), F.min("ball").alias("least"), F.max("ball").alias("most")]
+    sizes = members.groupBy("region").agg(F.count("*").alias("k"), F.sum("n").alias("weight"), *balls)
     blocks = F.greatest(F.ceil(2 * F.col("k") / LEAF), F.ceil(2 * F.col("weight") / LEAF_SHINGLES)).cast("int")
-    sizes = written(sizes.where("k > 1 and free > 0").select("region", "k", blocks.alias("blocks")), "sizes")
+    # Only the sets of one ball are connected already: two balls may have no link but one in this region.
+    sizes = written(sizes.where("k > 1 and (free > 0 or least != most)").select("region", "k", blocks.alias("blocks")), "sizes")
     return written(members.select(MEMBER).join(sizes, "region"), "sized")
 
 
 def _in_blocks(members: DataFrame) -> DataFrame:
     """Groups as pairs of blocks: every two sets meet in a group of two blocks, a leaf's worth."""
     n = F.col("blocks")
-    pairs = members.withColumns({"own": F.pmod(F.xxhash64("cid"), n).cast("int"), "other": F.explode(F.sequence(F.lit(0), n - 1))})
-    return pairs.withColumn("region", F.xxhash64("region", F.least("own", "other"), F.greatest("own", "other"))).select(MEMBER)
+    pairs = members.withColumns({"block": F.pmod(F.xxhash64("cid"), n).cast("int"), "other": F.explode(F.sequence(F.lit(0), n - 1))})
+    return pairs.withColumn("region", F.xxhash64("region", F.least("block", "other"), F.greatest("block", "other"))).select(MEMBER)
 
 
 def _cells(big: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Links to the pivots of each region, members of its cells, and members of the regions that cells don't split."""
     r = 1 - percent / 100 + 1e-9
-    chosen = big.where("ball is null").groupBy("region", F.pmod(F.xxhash64("cid"), F.lit(PIVOTS)).alias("slot")).agg(F.min("cid").alias("cid"))
+    # Sets without a ball first; a region of several balls and nothing else has pivots as well.
+    first = F.min(F.struct(F.col("ball").isNotNull().alias("held"), "cid"))["cid"]
+    chosen = big.groupBy("region", F.pmod(F.xxhash64("cid"), F.lit(PIVOTS)).alias("slot")).agg(first.alias("cid"))
     chosen = written(chosen.select("region", "cid"), "chosen")
     pivots = big.join(chosen, ["region", "cid"]).join(sets, KEY)
     pivots = written(pivots.groupBy("region").agg(F.collect_list(F.struct("cid", "n", "set")).alias("pivots")), "pivots")  # at most PIVOTS each
