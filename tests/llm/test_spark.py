@@ -129,6 +129,15 @@ def test_terms_that_give_away_an_entity(spark):
     assert pii.disclosing_terms(df.where("doc_id < 1000").unionByName(copies)).count() == 0
 
 
+def test_copies_are_no_evidence_against_a_term(spark):
+    docs = [(i, f"plain number{chr(97 + i % 26)}{chr(97 + i // 26)}x text") for i in range(600)]
+    docs += [(1000 + i, f"letter{chr(97 + i)}q Zorblatt zor@mail.com again{chr(97 + i)}q") for i in range(5)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    copied = df.unionByName(df.where("doc_id = 1000").withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(1000)))).drop("k"))
+    found = [{(r.term, round(r.share, 9)) for r in pii.disclosing_terms(x).collect()} for x in (df, copied)]
+    assert found[0] == found[1] and [t for t, _ in found[0]] == ["zorblatt"]
+
+
 def components_by_force(texts, n, percent):
     sets = {}
     for i, t in texts:

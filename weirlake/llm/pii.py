@@ -5,7 +5,8 @@ found are the protected entities. Over all documents, the information that a ter
 is estimated from how often it stands near it: PMI(entity, term) = log2(p(entity | term) / p(entity)), out
 of the entity's information content IC = -log2 p(entity). Terms that disclose at least GENERALISE of it
 are generalised wherever they occur, and from REMOVE on they are removed. A pair counts only with SUPPORT
-different contexts, so copies of a text are no evidence.
+different contexts, and all probabilities are shares of distinct texts, so copies of a text are evidence
+neither for nor against.
 
 Positions come from cutting a text at the matches: pieces and matches in turn add up to code points.
 Patterns take time in proportion to the text: a run of letters that can't begin a match is tried once.
@@ -108,20 +109,28 @@ def _entity(kind: str):
 
 def disclosing_terms(docs: DataFrame) -> DataFrame:
     """Terms that give an entity away: term, and the largest share of an entity's information."""
-    n_docs = docs.count()
+    # Every count is one of distinct texts; copies are the keys of texts that occur more than once.
+    key = F.xxhash64(F.coalesce("text", F.lit("")))
+    texts = written(only(docs, "text").groupBy(key.alias("key")).agg(F.count("*").alias("rows")), "texts")
+    n_docs = texts.count()
+    copies = written(texts.where("rows > 1").select("key", F.lit(True).alias("copied")), "copies")
     kinds = [F.transform(f"_{k}", _entity(k)) for k in KINDS]
-    mentions = _found(only(docs, "text")).select("text", F.explode(F.concat(*kinds)).alias("m"))
+    mentions = _found(only(docs, "text")).select("text", key.alias("key"), F.explode(F.concat(*kinds)).alias("m"))
     # Whole words to either side: what the cut leaves of a word is dropped.
     before = F.when(F.col("m.s") <= CONTEXT, F.substring("text", F.lit(1), F.col("m.s"))).otherwise(F.regexp_replace(F.substring("text", F.col("m.s") - CONTEXT + 1, F.lit(CONTEXT)), r"^[\p{L}\p{N}_]+", ""))
     after = F.regexp_replace(F.substring("text", F.col("m.e") + 1, F.lit(CONTEXT)), r"[\p{L}\p{N}_]+$", "")
     near = F.concat(before, F.lit(" \n "), after)
-    seen = written(mentions.select("m.entity", F.xxhash64(near).alias("context"), _words(near).alias("terms")).distinct(), "contexts")
-    entities = seen.groupBy("entity").agg(F.count_distinct("context").alias("n_entity")).where(F.col("n_entity") >= SUPPORT)
-    pairs = seen.select("entity", "context", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count_distinct("context").alias("n_both")).where(F.col("n_both") >= SUPPORT)
+    seen = written(mentions.select("m.entity", "key", F.xxhash64(near).alias("context"), _words(near).alias("terms")).distinct(), "contexts")
+    entities = seen.groupBy("entity").agg(F.count_distinct("context").alias("support"), F.count_distinct("key").alias("n_entity")).where(F.col("support") >= SUPPORT).drop("support")
+    pairs = seen.select("entity", "key", "context", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count_distinct("context").alias("support"), F.count_distinct("key").alias("n_both"))
+    pairs = pairs.where(F.col("support") >= SUPPORT).drop("support")
     pairs = written(pairs.join(written(entities, "entities"), "entity"), "pairs")
     terms = written(pairs.select("term").distinct(), "terms")
-    own = only(docs, "text").select(F.explode(_words(F.coalesce("text", F.lit("")))).alias("term"))
-    counts = written(own.join(terms, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_term")), "counts")
+    own = only(docs, "text").withColumn("key", key).join(copies, "key", "left")
+    own = own.select(F.when(F.col("copied"), F.col("key")).alias("copy"), F.explode(_words(F.coalesce("text", F.lit("")))).alias("term"))
+    # Texts that occur once have no key here, so each task combines them to one row a term.
+    counts = own.join(terms, "term", "left_semi").groupBy("term", "copy").agg(F.count("*").alias("n"))
+    counts = written(counts.groupBy("term").agg(F.sum(F.when(F.col("copy").isNull(), F.col("n")).otherwise(1)).alias("n_term")), "counts")
     information = -F.log2(F.least(F.lit(1.0), F.col("n_entity") / n_docs))
     pmi = F.log2(F.least(F.lit(1.0), F.col("n_both") / F.col("n_term")) * n_docs / F.col("n_entity"))
     shares = pairs.join(counts, "term").withColumn("share", F.when(information > 0, pmi / information).otherwise(0.0))
