@@ -262,6 +262,25 @@ def test_rules_keep_good_texts_and_find_outliers(spark):
     assert sum(good) / len(good) > 0.98 and sum(bad) / len(bad) < 0.35
 
 
+def plain_texts(n, first=0):
+    word = lambda k: "".join(chr(97 + k // 26**j % 26) for j in range(5))
+    return [". ".join(word(7919 * (first + i) + 613 * j) for j in range(40)) for i in range(n)]
+
+
+RULES_DDL = "doc_id long, text string, lang string, source string"
+
+
+def test_rules_by_group_size(spark):
+    shouting = [t.upper().replace(".", "") for t in plain_texts(60, 5000)]
+    rows = [(i, t, "en", "s") for i, t in enumerate(plain_texts(400))] + [(1000 + i, t, "en", "loud") for i, t in enumerate(shouting)]
+    out = quality_rules.judge(spark.createDataFrame(rows, RULES_DDL)).collect()
+    assert all(r.kept for r in out)  # a small group of its own kind
+    one = [*rows[:400], (1000, shouting[0], "en", "s")]
+    assert [r.doc_id for r in quality_rules.judge(spark.createDataFrame(one, RULES_DDL)).where("not kept").collect()] == [1000]
+    few = [*rows[:100], (1000, shouting[0], "en", "s")]
+    assert all(r.kept for r in quality_rules.judge(spark.createDataFrame(few, RULES_DDL)).collect())  # too few rows for any estimate
+
+
 def test_pipeline_stages_equal_brute_force(spark):
     import corpus_pipeline as P
 

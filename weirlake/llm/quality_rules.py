@@ -8,11 +8,14 @@ are rejected.
 The MCD is found by concentration steps over all rows. A step needs the sums of each group's half with
 the least distances; the distance that bounds this half comes from a histogram of fixed size. Both are
 aggregates that Spark combines before it shuffles, so a hot source costs no task more than another. The
-estimates stay a table with a row for each group; the driver gets the one row over all.
+estimates stay a table with a row for each group, as do the sums of languages; the driver gets the one
+row over all.
 
 Null text has no words, so its base verdict is failure; null language or source is a group of its own.
-Empty texts fail as well. Groups with fewer than MIN_GROUP rows use the estimates over all rows; where
-these too are fewer, nothing is rejected beyond the base verdict. Ties at the bound are all in the half.
+Empty texts fail as well. Groups with fewer than MIN_GROUP rows that pass the base rules are filled up to
+that number with rows like their language's, and languages with rows like all: the fewer rows a group has
+of its own, the more its estimates are those of its language. Where all rows are fewer, nothing is rejected
+beyond the base verdict. Ties at the bound are all in the half.
 Repeated rows count as often as they occur. An empty table gives an empty one.
 """
 
@@ -114,9 +117,16 @@ def measure(docs: DataFrame) -> DataFrame:
 
 
 def _sums(rows: DataFrame) -> DataFrame:
-    """Count, sums and sums of products of the vectors of each group."""
+    """Count, sums and sums of products of the vectors of each group, and size, the count of all its rows."""
     products = [F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"p{i}_{j}") for i, j in PAIRS]
-    return rows.groupBy("group").agg(F.count("*").alias("n"), *(F.sum(x).alias(x) for x in XS), *products)
+    size = F.max("size") if "size" in rows.columns else F.count("*")
+    return rows.groupBy("group", "of").agg(size.alias("size"), F.count("*").alias("n"), *(F.sum(x).alias(x) for x in XS), *products)
+
+
+def filled(size: int, own: np.ndarray, wider: np.ndarray) -> np.ndarray:
+    """Mean sums of a group of so many rows, filled up to MIN_GROUP with rows like the wider group's."""
+    share = min(1.0, size / MIN_GROUP)
+    return share * own + (1 - share) * wider
 
 
 def estimate(n: float, total: list[float], products: list[float], widen: float) -> tuple[list[float], list[float]]:
@@ -129,27 +139,33 @@ def estimate(n: float, total: list[float], products: list[float], widen: float)
     return mean.tolist(), np.linalg.inv(scatter).ravel().tolist()
 
 
-def _estimates(rows: DataFrame, widen: float) -> tuple[DataFrame, tuple[list[float], list[float]]]:
-    """The estimates of each group with enough rows, as a table, and those over all rows."""
+def _estimates(rows: DataFrame, widen: float) -> tuple[DataFrame, tuple[list[float], list[float]], int]:
+    """The estimates of each group, as a table, those over all rows, and how many these are."""
+    columns = [*XS, *(f"p{i}_{j}" for i, j in PAIRS)]
+    total = [F.sum(c).alias(c) for c in ("size", "n", *columns)]
     sums = written(_sums(rows), "sums")
-    columns = ["n", *XS, *(f"p{i}_{j}" for i, j in PAIRS)]
-    every = [x or 0 for x in sums.agg(*(F.sum(c).alias(c) for c in columns)).first()]  # one row
+    languages = written(sums.groupBy("of").agg(*total), "languages")
+    size, n, *every = (x or 0 for x in languages.agg(*total).first())  # one row
+    whole = np.array(every, float) / max(1, n)
+    wide = languages.select("of", *(F.col(c).alias(f"w_{c}") for c in ("size", "n", *columns)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found() -> Iterator[tuple]:
-            for group, n, *x in rows_of(batches, "group", *columns):
-                yield group, *estimate(n, x[: len(XS)], x[len(XS) :], widen)
+            for group, size, n, w_size, w_n, *x in rows_of(batches, "group", "size", "n", "w_size", "w_n", *columns, *(f"w_{c}" for c in columns)):
+                own, wider = np.array(x[: len(columns)]) / n, np.array(x[len(columns) :]) / w_n
+                mean = filled(size, own, filled(w_size, wider, whole)).tolist()
+                yield group, *estimate(1, mean[: len(XS)], mean[len(XS) :], widen)
 
         yield from batched(found(), ESTIMATE_SCHEMA)
 
-    table = sums.where(F.col("n") >= MIN_GROUP).mapInArrow(run, "group string, centre array<double>, inverse array<double>")
-    return written(table, "estimates"), estimate(every[0], every[1 : 1 + len(XS)], every[1 + len(XS) :], widen)
+    table = sums.join(wide, "of").mapInArrow(run, "group string, centre array<double>, inverse array<double>")
+    return written(table, "estimates"), estimate(1, whole[: len(XS)].tolist(), whole[len(XS) :].tolist(), widen), size
 
 
-def _distance(rows: DataFrame, found: tuple[DataFrame, tuple[list[float], list[float]]]) -> DataFrame:
+def _distance(rows: DataFrame, found: tuple[DataFrame, tuple[list[float], list[float]], int]) -> DataFrame:
     """rows with the squared Mahalanobis distance d2. Spark broadcasts the table of estimates if it is
     small enough by its own threshold, and else splits the partition of a hot group."""
-    table, (m, v) = found
+    table, (m, v), _ = found
     d = len(XS)
     joined = rows.join(table, "group", "left").withColumns({"centre": F.coalesce("centre", F.array(*map(F.lit, m))), "inverse": F.coalesce("inverse", F.array(*map(F.lit, v)))})
     diff = [F.col(f"x{i}") - F.col("centre")[i] for i in range(d)]
@@ -158,23 +174,25 @@ def _distance(rows: DataFrame, found: tuple[DataFrame, tuple[list[float], list[f
 
 
 def _half(rows: DataFrame) -> DataFrame:
-    """The rows of each group with the least distances, SHARE of it: by a histogram of log distance."""
+    """The rows of each group with the least distances, SHARE of it, and its size: by a histogram of log distance."""
     binned = rows.withColumn("bin", F.least(F.lit(BINS - 1), F.greatest(F.lit(0), F.floor((F.log(F.col("d2") + 1e-6) + 14) * 64))).cast("int"))
     counts = binned.groupBy("group", "bin").agg(F.count("*").alias("n"))
     own = Window.partitionBy("group")
     so_far = counts.withColumns({"run": F.sum("n").over(own.orderBy("bin")), "all": F.sum("n").over(own)})
-    bound = written(so_far.where(F.col("run") >= SHARE * F.col("all")).groupBy("group").agg(F.min("bin").alias("bound")), "bounds")
-    return binned.join(bound, "group").where("bin <= bound").drop("bin", "bound")
+    bound = written(so_far.where(F.col("run") >= SHARE * F.col("all")).groupBy("group").agg(F.min("bin").alias("bound"), F.max("all").alias("size")), "bounds")
+    return binned.drop("size").join(bound, "group").where("bin <= bound").drop("bin", "bound")
 
 
 def judge(docs: DataFrame) -> DataFrame:
     """The base verdict, the squared distance and the method's verdict of each document."""
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    group = F.concat_ws("\x00", F.coalesce(F.concat(F.lit("+"), "lang"), F.lit("-")), F.coalesce(F.concat(F.lit("+"), "source"), F.lit("-")))
-    rows = written(measure(docs).withColumns({"base_failed": base, "group": group}), "stats")
-    good = rows.where("not base_failed").select("group", *XS)
+    of = F.coalesce(F.concat(F.lit("+"), "lang"), F.lit("-"))
+    group = F.concat_ws("\x00", of, F.coalesce(F.concat(F.lit("+"), "source"), F.lit("-")))
+    rows = written(measure(docs).withColumns({"base_failed": base, "of": of, "group": group}), "stats")
+    good = rows.where("not base_failed").select("group", "of", *XS)
     found = _estimates(good, 1.0)
     for _ in range(STEPS):
         found = _estimates(_half(_distance(good, found)), CONSISTENCY)
     out = _distance(rows, found)
-    return out.select("doc_id", *STATS, "base_failed", (~F.col("base_failed") & (F.col("d2") <= CUTOFF)).alias("kept"), F.col("d2").alias("distance2"))
+    usual = (F.col("d2") <= CUTOFF) if found[2] >= MIN_GROUP else F.lit(True)
+    return out.select("doc_id", *STATS, "base_failed", (~F.col("base_failed") & usual).alias("kept"), F.col("d2").alias("distance2"))
