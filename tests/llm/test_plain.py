@@ -171,6 +171,16 @@ def test_quality_statistics(text):
     assert quality_rules.statistics(text.encode())[:5] == stats_by_force(text)
 
 
+def test_repeats_alone_can_reject():
+    usual = [1.5, 0.0, 0.0, 0.0, 0.1, 0.2, 0.95]
+    _, inverse = quality_rules.estimate(1, usual, [usual[i] * usual[j] for i, j in quality_rules.PAIRS], 1.0)
+    text = "\n".join(line for k in range(20) for line in ("yes", "no", "so", "but", f"other{k}"))  # 80 % but for the first ones
+    n, _, _, dups, repeated, vector = quality_rules.statistics(text.encode())
+    assert (n, dups, repeated) == (100, 76, 0)
+    for i, value in ((2, vector[2]), (3, (quality_rules.MAX_REPEAT_PERCENT / 100) ** 0.5)):
+        assert value**2 * inverse[i * len(usual) + i] > quality_rules.CUTOFF
+
+
 def test_expectation_maximisation_finds_accuracies():
     rnd = random.Random(1)
     accuracy = [0.95, 0.9, 0.85, 0.8, 0.75, 0.7, 0.9, 0.85, 0.8]
