@@ -3,10 +3,14 @@
 Base: e-mail addresses, IP addresses, card numbers with a valid check digit, and phone numbers. The values
 found are the protected entities. Over all documents, the information that a term holds about an entity
 is estimated from how often it stands near it: PMI(entity, term) = log2(p(entity | term) / p(entity)), out
-of the entity's information content IC = -log2 p(entity). Terms that disclose at least GENERALISE of it
-are generalised wherever they occur, and from REMOVE on they are removed. A pair counts only with SUPPORT
-different contexts, and all probabilities are shares of distinct texts, so copies of a text are evidence
-neither for nor against.
+of the entity's information content IC = -log2 p(entity). Terms that disclose at least a share `generalise`
+of it are generalised wherever they occur, and from `remove` on they are removed. Near is within `width`
+characters. An entity and a pair count only with `support` different contexts in as many distinct texts; an
+entity that is seen less often gives no estimate, so only its own mentions are protected. All probabilities
+are shares of distinct texts, so copies of a text are evidence neither for nor against.
+
+An estimate of at least g needs n_term <= n_both * (n_docs / n_entity) ** (1 - g). How many texts have a term
+beside any entity is a lower bound of n_term, so common words are ruled out before the corpus is counted.
 
 Positions come from cutting a text at the matches: pieces and matches in turn add up to code points.
 Patterns take time in proportion to the text: a run of letters that can't begin a match is tried once.
@@ -107,43 +111,56 @@ def _entity(kind: str):
     return named
 
 
-def disclosing_terms(docs: DataFrame) -> DataFrame:
-    """Terms that give an entity away: term, and the largest share of an entity's information."""
-    # Every count is one of distinct texts; copies are the keys of texts that occur more than once.
+def contexts(docs: DataFrame, width: int = CONTEXT) -> DataFrame:
+    """Mentions of entities in distinct texts: entity, key of the text, context (a hash of what stands up to width
+    characters to either side) and the words in it."""
     key = F.xxhash64(F.coalesce("text", F.lit("")))
-    texts = written(only(docs, "text").groupBy(key.alias("key")).agg(F.count("*").alias("rows")), "texts")
-    n_docs = texts.count()
-    copies = written(texts.where("rows > 1").select("key", F.lit(True).alias("copied")), "copies")
     kinds = [F.transform(f"_{k}", _entity(k)) for k in KINDS]
     mentions = _found(only(docs, "text")).select("text", key.alias("key"), F.explode(F.concat(*kinds)).alias("m"))
     # Whole words to either side: what the cut leaves of a word is dropped.
-    before = F.when(F.col("m.s") <= CONTEXT, F.substring("text", F.lit(1), F.col("m.s"))).otherwise(F.regexp_replace(F.substring("text", F.col("m.s") - CONTEXT + 1, F.lit(CONTEXT)), r"^[\p{L}\p{N}_]+", ""))
-    after = F.regexp_replace(F.substring("text", F.col("m.e") + 1, F.lit(CONTEXT)), r"[\p{L}\p{N}_]+$", "")
+    before = F.when(F.col("m.s") <= width, F.substring("text", F.lit(1), F.col("m.s"))).otherwise(F.regexp_replace(F.substring("text", F.col("m.s") - width + 1, F.lit(width)), r"^[\p{L}\p{N}_]+", ""))
+    after = F.regexp_replace(F.substring("text", F.col("m.e") + 1, F.lit(width)), r"[\p{L}\p{N}_]+$", "")
     near = F.concat(before, F.lit(" \n "), after)
-    seen = written(mentions.select("m.entity", "key", F.xxhash64(near).alias("context"), _words(near).alias("terms")).distinct(), "contexts")
-    entities = seen.groupBy("entity").agg(F.count_distinct("context").alias("support"), F.count_distinct("key").alias("n_entity")).where(F.col("support") >= SUPPORT).drop("support")
-    pairs = seen.select("entity", "key", "context", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count_distinct("context").alias("support"), F.count_distinct("key").alias("n_both"))
-    pairs = pairs.where(F.col("support") >= SUPPORT).drop("support")
-    pairs = written(pairs.join(written(entities, "entities"), "entity"), "pairs")
-    terms = written(pairs.select("term").distinct(), "terms")
-    own = only(docs, "text").withColumn("key", key).join(copies, "key", "left")
-    own = own.select(F.when(F.col("copied"), F.col("key")).alias("copy"), F.explode(_words(F.coalesce("text", F.lit("")))).alias("term"))
-    # Texts that occur once have no key here, so each task combines them to one row a term.
-    counts = own.join(terms, "term", "left_semi").groupBy("term", "copy").agg(F.count("*").alias("n"))
-    counts = written(counts.groupBy("term").agg(F.sum(F.when(F.col("copy").isNull(), F.col("n")).otherwise(1)).alias("n_term")), "counts")
+    return mentions.select("m.entity", "key", F.xxhash64(near).alias("context"), _words(near).alias("terms")).distinct()
+
+
+def disclosing_terms(docs: DataFrame, width: int = CONTEXT, support: int = SUPPORT, generalise: float = GENERALISE) -> DataFrame:
+    """Terms that give an entity away: term, and the largest share of an entity's information."""
+    # Every count is one of distinct texts. Rows of a text that occurs k times weigh 1 / k each, so that no text
+    # has to be brought together with its copies.
+    key = F.xxhash64(F.coalesce("text", F.lit("")))
+    texts = written(only(docs, "text").groupBy(key.alias("key")).agg(F.count("*").alias("copies")), "texts")
+    n_docs = texts.count()
+    seen = written(contexts(docs, width), "contexts")
+    enough = F.least(F.count_distinct("context"), F.count_distinct("key")) >= support
+    entities = seen.groupBy("entity").agg(F.count_distinct("key").alias("n_entity"), enough.alias("enough")).where("enough").drop("enough")
+    beside = seen.select("entity", "key", "context", F.explode("terms").alias("term"))
+    pairs = beside.groupBy("entity", "term").agg(F.count_distinct("key").alias("n_both"), enough.alias("enough")).where("enough").drop("enough")
+    # A term can't be in fewer texts than it is beside entities in; what this rules out needn't be counted.
+    near = beside.groupBy("term").agg(F.count_distinct("key").alias("n_near"))
+    most = F.col("n_both") * F.pow(n_docs / F.col("n_entity"), F.lit(1 - generalise)) * (1 + 1e-9)
+    pairs = written(pairs.join(written(entities, "entities"), "entity").withColumn("most", most), "pairs")
+    pairs = written(pairs.join(near, "term").where("n_near <= most").drop("n_near"), "pairs")
+    terms = written(pairs.groupBy("term").agg(F.max("most").alias("most")), "terms")
+    again = written(texts.where("copies > 1"), "copies")
+    own = only(docs, "text").withColumn("key", key).join(again, "key", "left")
+    own = own.select((1 / F.coalesce("copies", F.lit(1))).alias("weight"), F.explode(_words(F.coalesce("text", F.lit("")))).alias("term"))
+    # Counted before they are joined: each task combines its rows to one a term.
+    counts = own.groupBy("term").agg(F.round(F.sum("weight")).cast("long").alias("n_term"))
+    counts = written(counts.join(terms, "term").where("n_term <= most").select("term", "n_term"), "counts")
     information = -F.log2(F.least(F.lit(1.0), F.col("n_entity") / n_docs))
     pmi = F.log2(F.least(F.lit(1.0), F.col("n_both") / F.col("n_term")) * n_docs / F.col("n_entity"))
     shares = pairs.join(counts, "term").withColumn("share", F.when(information > 0, pmi / information).otherwise(0.0))
-    return written(shares.groupBy("term").agg(F.max("share").alias("share")).where(F.col("share") >= GENERALISE), "disclosing")
+    return written(shares.groupBy("term").agg(F.max("share").alias("share")).where(F.col("share") >= generalise), "disclosing")
 
 
-def _term_spans(docs: DataFrame) -> DataFrame:
+def _term_spans(docs: DataFrame, width: int, support: int, generalise: float, remove: float) -> DataFrame:
     """_found(docs) with _term: spans of disclosing terms, v the term in lower case, and _removed: the terms
     to be removed rather than generalised."""
-    terms = disclosing_terms(docs)
+    terms = disclosing_terms(docs, width, support, generalise)
     key = F.xxhash64(F.coalesce("text", F.lit("")))
     own = only(docs, "text").select(key.alias("_key"), F.explode(_words(F.coalesce("text", F.lit("")))).alias("term"))
-    own = own.join(terms, "term").groupBy("_key").agg(F.sort_array(F.collect_set("term")).alias("_terms"), F.collect_set(F.when(F.col("share") >= REMOVE, F.col("term"))).alias("_removed"))
+    own = own.join(terms, "term").groupBy("_key").agg(F.sort_array(F.collect_set("term")).alias("_terms"), F.collect_set(F.when(F.col("share") >= remove, F.col("term"))).alias("_removed"))
     out = docs.withColumn("_key", key).join(written(own, "own"), "_key", "left").drop("_key")
     pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}_])(?:"), F.array_join("_terms", "|"), F.lit(r")(?![\p{L}\p{N}_])"))
     none = F.array().cast("array<struct<s:int,e:int,v:string>>")
@@ -157,9 +174,9 @@ def _listed(kinds: tuple[str, ...]) -> Column:
     return F.array_join(F.concat(*(F.transform(f"_{k}", named(k)) for k in kinds)), ",")
 
 
-def scan(docs: DataFrame) -> DataFrame:
+def scan(docs: DataFrame, width: int = CONTEXT, support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """A row for each document (doc_id, text): counts of the base kinds, digest of the base spans, all spans."""
-    found = _term_spans(only(docs, "doc_id", "text"))
+    found = _term_spans(only(docs, "doc_id", "text"), width, support, generalise, remove)
     counts = [F.size(f"_{k}").cast("long").alias(f"n_{k}") for k in KINDS]
     return found.select("doc_id", *counts, F.sha2(_listed(KINDS), 256).alias("base_sha256"), _listed((*KINDS, "term")).alias("spans"), F.size("_term").cast("long").alias("n_term"))
 
@@ -189,10 +206,10 @@ def redacted() -> Column:
     return F.when(every > 0, F.concat(F.array_join(parts, ""), tail)).otherwise(text)
 
 
-def sanitise(docs: DataFrame) -> DataFrame:
+def sanitise(docs: DataFrame, width: int = CONTEXT, support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """docs with text redacted and n_chars its length; other columns as they are. Null text stays null."""
     # The row travels as one value, so its columns' names clash with none used here.
-    found = _term_spans(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_all"), F.col("text")))
+    found = _term_spans(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_all"), F.col("text")), width, support, generalise, remove)
     text = F.when(F.col("_all.text").isNotNull(), redacted())
     out = found.select("_all", text.alias("text"))
     new = {"text": F.col("text")}
