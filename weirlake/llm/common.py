@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows that go to a Python worker at a time. Texts average a few KB, so a batch stays a few MB.
@@ -88,3 +88,18 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 def only(df: DataFrame, *columns: str) -> DataFrame:
     """Those columns alone, so that further ones, whatever their names, are never touched."""
     return df.select(*(F.col(f"`{c}`") for c in columns))
+
+
+def packed(df: DataFrame) -> Column:
+    """A whole row as one value, _row, so that its columns' names, dots included, clash with none."""
+    return F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("_row")
+
+
+def unpacked(df: DataFrame, columns: list[str]) -> DataFrame:
+    return df.select(*(F.col("_row").getField(c).alias(c) for c in columns))
+
+
+def row_key(names: tuple[str, str]) -> list[Column]:
+    """128 bits of a row's doc_id and text under two names; nulls have keys of their own."""
+    own = (F.coalesce("doc_id", F.lit(0)).cast("long"), F.col("doc_id").isNull(), F.col("text").isNull(), F.coalesce("text", F.lit("")))
+    return [F.xxhash64(F.lit(k), *own).alias(c) for k, c in enumerate(names)]
