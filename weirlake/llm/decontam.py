@@ -1,27 +1,30 @@
 """Benchmark decontamination by pigeonhole edit matching.
 
 Texts are normalised: lower case, ASCII punctuation and white space as single spaces. A test item of m
-characters may differ from a passage by k = m * RATE edits. Of its k + 1 pieces at least one then stands
+characters may differ from a passage by k = m * rate edits. Of its k + 1 pieces at least one then stands
 in the passage as it is, so an Aho-Corasick automaton finds the exact hits of all pieces, and Myers'
-bit-parallel algorithm verifies the passage about each hit.
-
-The test set is taken in blocks of bounded size; each block is one pass over all documents, which are not
-shuffled. Null or empty items match nothing; items of fewer than SHORT characters must stand as they are
-between spaces. Null and empty texts match nothing. Very long texts are searched whole. Items with equal
-texts and repeated rows are all reported. An empty table on either side gives an empty result.
+bit-parallel algorithm verifies the passage about each hit. With rate 0.05, items of fewer than 20 characters
+have no edits to spare.
+
+The test set is taken in blocks of bounded size. A block is broadcast, is one pass over all documents, which are
+not shuffled, and is let go once the pass is written, so neither driver nor executors hold more than one. Null
+or empty items match nothing; items without an edit to spare must stand as they are between spaces. Null and
+empty texts match nothing. Very long texts are searched whole. Items with equal texts and repeated rows are all
+reported. Further columns, whatever their names, are not read. An empty table on either side gives an empty
+result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from weirlake.llm.common import arrow_rows, batched, only, rows_of, union_all, written
+from weirlake.llm.common import arrow_rows, batched, only, packed, row_key, rows_of, union_all, unpacked, written
 
 RATE = 0.05
-SHORT = 32
 BLOCK_CHARS = 4_000_000
 PUNCTUATION = str.maketrans({c: " " for c in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"})
 
@@ -31,8 +34,9 @@ def normalise(text: str | None) -> str:
     return f" {' '.join(text.lower().translate(PUNCTUATION).split())} " if text else " "
 
 
-def budget(m: int) -> int:
-    return int(m * RATE) if m >= SHORT else 0
+def budget(m: int, rate: float = RATE) -> int:
+    """Edits that an item of m characters may have."""
+    return int(m * rate + 1e-9)
 
 
 def pieces(item: str, k: int) -> list[tuple[int, str]]:
@@ -73,7 +77,7 @@ def best_match(bits: dict[str, int], m: int, text: str) -> tuple[int, int]:
 class Matcher:
     """The automaton of a block of items (item_id, text)."""
 
-    def __init__(self, items: list[tuple[int | None, str | None]]):
+    def __init__(self, items: list[tuple[int | None, str | None]], rate: float = RATE):
         import ahocorasick
 
         self.items: list[tuple[int | None, str, int]] = []
@@ -83,7 +87,7 @@ class Matcher:
             item = normalise(text)
             if item == " ":
                 continue
-            k = budget(len(item) - 2)
+            k = budget(len(item) - 2, rate)
             item = item.strip() if k else item
             for at, piece in pieces(item, k):
                 found.setdefault(piece, []).append((len(self.items), at))
@@ -140,31 +144,44 @@ def blocks(items: DataFrame) -> Iterator[list[tuple[int | None, str | None]]]:
         yield own
 
 
+ROW = ("_t1", "_t2")
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("distance", pa.int64()), ("item_end", pa.int64())])
 DDL = "doc_id long, item_id long, distance long, item_end long"
 
 
-def find(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """A row for each document (doc_id, text) and item (item_id, text) that stands in it within the item's
-    budget of edits: distance, and where the passage ends in the normalised text."""
+@lru_cache(1)
+def _matcher(held, rate: float) -> Matcher:
+    """One for each worker process and block, kept from task to task. held: a broadcast variable."""
+    return Matcher(held.value, rate)
+
+
+def _passes(docs: DataFrame, items: DataFrame, rate: float, key: list[str]) -> Iterator[DataFrame]:
+    """key of docs (longs) and SCHEMA's other columns for each block of items in turn, as written tables."""
     spark = docs.sparkSession
     arrow_rows(spark)
-
-    def scan(block) -> DataFrame:
+    schema = pa.schema([*((c, pa.int64()) for c in key), *list(SCHEMA)[1:]])
+    for block in blocks(items):
         held = spark.sparkContext.broadcast(block)
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(held.value)
-            rows = ((doc_id, *m) for doc_id, text in rows_of(batches, "doc_id", "text") for m in matcher.matches(text))
-            yield from batched(rows, SCHEMA)
+        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            matcher = _matcher(held, rate)
+            yield from batched(((*own, *m) for *own, text in rows_of(batches, *key, "text") for m in matcher.matches(text)), schema)
+
+        yield written(docs.select(*key, "text").mapInArrow(run, ", ".join(f"{c.name} long" for c in schema)), "passages")
+        held.destroy()
 
-        return only(docs, "doc_id", "text").mapInArrow(run, DDL)
 
-    found = [scan(b) for b in blocks(items)]
-    return union_all(found) if found else spark.createDataFrame([], DDL)
+def find(docs: DataFrame, items: DataFrame, rate: float = RATE) -> DataFrame:
+    """A row for each document (doc_id, text) and item (item_id, text) that stands in it within the item's
+    budget of edits: distance, and where the passage ends in the normalised text."""
+    found = list(_passes(only(docs, "doc_id", "text"), items, rate, ["doc_id"]))
+    return union_all(found) if found else docs.sparkSession.createDataFrame([], DDL)
 
 
-def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """docs without those that an item stands in. Rows with a null doc_id can't be named and stay."""
-    found = written(find(docs, items).select("doc_id").distinct(), "found")
-    return docs.join(found, "doc_id", "left_anti").select(docs.columns)
+def clean(docs: DataFrame, items: DataFrame, rate: float = RATE) -> DataFrame:
+    """docs without the rows that an item stands in, whatever their doc_id, nulls included. All columns stay."""
+    keyed = docs.select(packed(docs), *row_key(ROW), "text")
+    found = [f.select(*ROW) for f in _passes(keyed, items, rate, [*ROW])]
+    if not found:
+        return docs
+    return unpacked(keyed.drop("text").join(written(union_all(found).distinct(), "found"), [*ROW], "left_anti"), docs.columns)
