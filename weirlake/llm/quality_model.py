@@ -6,9 +6,11 @@ share of good texts, and gives each pattern a posterior. These posteriors, not a
 linear scorer on hashed features: shapes of words and of pairs of words, and bins of the statistics.
 
 Vote counts cover all documents; there are at most 3 ** 9 patterns. The scorer is fitted on a bounded
-sample of about TRAIN_ROWS documents, by a hash of doc_id. A document is kept unless its score is below
-KEEP. Null and empty texts have no words: they are voted bad by length and scored by it. Repeated rows
-count as often as they occur. Texts are read whole. An empty table gives an empty one.
+sample: the TRAIN_ROWS documents (all, if there are fewer) with the least hashes of doc_id and text. A document
+is kept unless its score is below KEEP. Null and empty texts have no words: they are voted bad by length and
+scored by it. Null and repeated doc_ids don't matter. Repeated rows count as often as they occur in the counts
+and once in the sample, and all get the same verdict. Texts are read whole. keep() hands on further columns,
+whatever their names. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -21,10 +23,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weirlake.llm import words as W
-from weirlake.llm.common import arrow_rows, batched, only, rows_of, utf8
+from weirlake.llm.common import arrow_rows, batched, only, row_key, rows_of, utf8, written
 from weirlake.llm.quality_rules import statistics
 
 TRAIN_ROWS = 8_000
+ROW = ("_t1", "_t2")
 BITS = 14
 KEEP = 0.35
 ROUNDS = 60
@@ -168,20 +171,28 @@ def train(docs: DataFrame) -> tuple[LabelModel, np.ndarray, float]:
     counts = {r["pattern"]: r["n"] for r in got}
     model = LabelModel(counts)
     held = spark.sparkContext.broadcast(model)
-    share = min(1.0, TRAIN_ROWS / max(1, sum(counts.values())))
-    schema = pa.schema([("doc_id", pa.int64()), ("at", pa.list_(pa.int64())), ("value", pa.list_(pa.float64())), ("y", pa.float64())])
+    schema = pa.schema([("at", pa.list_(pa.int64())), ("value", pa.list_(pa.float64())), ("y", pa.float64())])
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
-            for doc_id, text in rows_of(batches, "doc_id", "text"):
+            for (text,) in rows_of(batches, "text"):
                 m = measures(utf8(text))
-                yield (doc_id, *hashed_features(utf8(text), m), held.value.posterior(votes(m)))
+                yield (*hashed_features(utf8(text), m), held.value.posterior(votes(m)))
 
         yield from batched(rows(), schema, 200)
 
-    sample = only(docs, "doc_id", "text").where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)).limit(2 * TRAIN_ROWS)
-    rows = sorted(sample.mapInArrow(describe, "doc_id long, at array<long>, value array<double>, y double").collect(), key=lambda r: (r[0] or 0, r[3]))
-    return model, *fit([(np.array(r[1], np.int64), np.array(r[2]), r[3]) for r in rows])
+    # The order is by hash alone, so the sample is the same at any number of rows and partitions. Only hashes are
+    # ordered; the sampled texts stay in the tasks that read them.
+    own = only(docs, "doc_id", "text").select("text", *row_key(ROW))
+    sample = written(own.select(*ROW).distinct().orderBy(*ROW).limit(TRAIN_ROWS), "sample")
+    last = sample.agg(F.max(F.struct(*ROW)).alias("x")).select("x.*").first()  # one row
+    if last[0] is None:
+        return model, *fit([])
+    within = (F.col(ROW[0]) < last[0]) | (F.col(ROW[0]) == last[0]) & (F.col(ROW[1]) <= last[1])
+    # Copies of a row give one, combined before the shuffle.
+    rows = own.where(within).groupBy(*ROW).agg(F.first("text").alias("text")).select("text").mapInArrow(describe, "at array<long>, value array<double>, y double")
+    got = sorted(rows.collect(), key=lambda r: (r[2], r[0], r[1]))  # TRAIN_ROWS at most
+    return model, *fit([(np.array(r[0], np.int64), np.array(r[1]), r[2]) for r in got])
 
 
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("posterior", pa.float64()), ("votes", pa.string()), ("kept", pa.bool_())])
@@ -216,11 +227,14 @@ def keep(docs: DataFrame) -> DataFrame:
     """The documents that are kept, as they are, in one pass that ships no text back and forth twice."""
     spark = docs.sparkSession
     held = spark.sparkContext.broadcast(train(docs))
+    # Columns go by place, whatever their names; the text is a column of its own.
     at = docs.columns.index("text")
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    plain = docs.toDF(*names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield b.filter(pa.array([judge(utf8(t), *held.value)[3] for t in b.column(at).to_pylist()], pa.bool_()))
 
     arrow_rows(spark)
-    return docs.mapInArrow(run, docs.schema)
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
