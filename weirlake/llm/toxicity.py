@@ -10,7 +10,8 @@ seen the row. Scores depend on the text alone.
 Null text is empty; it has a score like any other. A null doc_id is not held out. Labels that are null or
 neither 0 nor 1 are not used; of several labels of a document the highest counts. Without labels of both
 kinds every score is the smoothed share of toxic labels (a half with none). Repeated rows give repeated
-results. Texts are read whole. An empty table gives an empty one.
+results; of several texts under one labelled doc_id that with the least hash is learned from. Further columns,
+whatever their names, are not read. Texts are read whole. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -40,7 +41,7 @@ WORDS = re.compile(r"[^\W\d_]+")
 SECOND = frozenset("you your yours yourself u ur du dich dir dein deine deinen ihr euch euer sie tu te toi ton ta tes vous votre vos usted ustedes vosotros tú ti contigo os vuestra vuestro".split())
 #: Digits and marks that stand for letters. Fixed values.
 LETTERS = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"})
-OBFUSCATED = re.compile(r"(?<![\w@$*])(?=[\w@$*!]*[^\W\d_])(?=[\w@$*!]*[\d@$*])[\w@$*!]{3,}")
+OBFUSCATED = re.compile(r"(?<![\w@$*!])(?=[\w@$*!]*[^\W\d_])(?=[\w@$*!]*[\d@$*])[\w@$*!]{3,}")
 
 FEATURES = (
     "log_words lexicon_density lexicon_log lexicon_kinds beginning_density beginning_log weight_top weight_sum near_second near_share second_density capitals caps_words exclamations marks obfuscated obfuscated_hits runs".split()
@@ -53,6 +54,13 @@ def terms(words: list[str]) -> set[str]:
     return own | {w[:k] + "*" for w in own for k in BEGINNINGS if len(w) > k}
 
 
+def near_second(at: np.ndarray, second: np.ndarray) -> int:
+    """How many of the places stand within NEAR words of one of the second person's; both are sorted."""
+    after = np.searchsorted(second, at)
+    gap = np.minimum(np.abs(second[np.minimum(after, len(second) - 1)] - at), np.abs(at - second[np.maximum(after - 1, 0)]))
+    return int((gap <= NEAR).sum())
+
+
 def features(text: str, lexicon: dict[str, float]) -> list[float]:
     words = WORDS.findall(text.lower())
     n = max(1, len(words))
@@ -61,7 +69,7 @@ def features(text: str, lexicon: dict[str, float]) -> list[float]:
     begin = [w for w in words if len(w) > BEGINNINGS[0] and any(w[:k] + "*" in lexicon for k in BEGINNINGS)]
     weights = sorted((lexicon[w] for w in set(found)), reverse=True)
     second = [i for i, w in enumerate(words) if w in SECOND]
-    near = int(sum(bool(np.abs(np.array(second) - i).min() <= NEAR) for i in at)) if at and second else 0
+    near = near_second(np.array(at), np.array(second)) if at and second else 0
     letters = max(1, len(text))
     upper = sum(map(str.isupper, text)) if not text.isascii() else sum(map(text.count, "ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
     hidden = OBFUSCATED.findall(text) if re.search(r"[\d@$*]", text) else []
@@ -74,15 +82,12 @@ def features(text: str, lexicon: dict[str, float]) -> list[float]:
     ]
 
 
-def learn_lexicon(counts: dict[str, tuple[int, int]], n_toxic: int, n_clean: int) -> dict[str, float]:
-    """Terms with the log of how much more frequent they are in toxic texts."""
-    out = {}
-    for term, (a, b) in counts.items():
-        if a >= LEAST_DOCS:
-            odds = float(np.log((a + 0.1) / (n_toxic + 1)) - np.log((b + 0.1) / (n_clean + 1)))
-            if odds >= LEAST_ODDS:
-                out[term] = odds
-    return dict(sorted(out.items(), key=lambda x: (-x[1], x[0]))[:LEXICON])
+def learn_lexicon(counts: DataFrame, n_toxic: int, n_clean: int, most: int = LEXICON) -> dict[str, float]:
+    """Terms (term, a, b: the toxic and clean texts that have it) with the log of how much more frequent they are in
+    toxic texts: of those with LEAST_DOCS and LEAST_ODDS, the `most` with the highest."""
+    odds = F.log((F.col("a") + 0.1) / (n_toxic + 1)) - F.log((F.col("b") + 0.1) / (n_clean + 1))
+    found = counts.where(F.col("a") >= LEAST_DOCS).select("term", F.round(odds, 9).alias("odds")).where(F.col("odds") >= LEAST_ODDS)
+    return {r.term: r.odds for r in found.orderBy(F.desc("odds"), "term").limit(most).collect()}
 
 
 class Trees:
@@ -180,7 +185,10 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     known = only(labels, "doc_id", "toxic").where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sample = written(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS), "sample")
-    return written(only(docs, "doc_id", "text").join(F.broadcast(sample), "doc_id"), "train")  # TRAIN_ROWS rows of two numbers
+    rows = only(docs, "doc_id", "text").join(F.broadcast(sample), "doc_id")  # TRAIN_ROWS rows of two numbers
+    # Of several rows with one doc_id that whose text has the least hash: a partial aggregate.
+    text = F.coalesce("text", F.lit(""))
+    return written(rows.groupBy("doc_id").agg(F.min_by(text, F.xxhash64(text)).alias("text"), F.first("toxic").alias("toxic")), "train")
 
 
 def _lexicons(train: DataFrame) -> list[dict[str, float]]:
@@ -196,16 +204,17 @@ def _lexicons(train: DataFrame) -> list[dict[str, float]]:
         yield from batched(((t, k, n * y, n * (1 - y)) for (t, k, y), n in counts.items()), schema, 10_000)
 
     counts = train.mapInArrow(run, "term string, fold long, a long, b long").groupBy("term", "fold").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    whole = counts.groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.collect_list(F.struct("fold", "a", "b")).alias("folds"))  # FOLDS at most
-    # Terms that no lexicon can have stay behind: too few toxic texts, or a share of them that no fold can lift.
-    found = whole.where((F.col("term") == "") | (F.col("a") >= LEAST_DOCS) & (F.col("a") > F.col("b") / 4)).orderBy(F.desc(F.col("term") == ""), F.desc("a"), "term").limit(20 * LEXICON).collect()
-    by = {r["term"]: (r["a"], r["b"], {f["fold"]: (f["a"], f["b"]) for f in r["folds"]}) for r in found}
-    n_a, n_b, n_fold = by.pop("", (0, 0, {}))
-    out = []
+    folds = [F.sum(F.when(F.col("fold") == k, F.col(c)).otherwise(0)).alias(f"{c}{k}") for k in range(FOLDS) for c in "ab"]
+    whole = written(counts.groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), *folds).where(F.col("a") >= LEAST_DOCS).unionByName(
+        counts.where("term = ''").groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), *folds).where(F.col("a") < LEAST_DOCS)
+    ), "terms")
+    n = whole.where("term = ''").first()
+    n = n.asDict() if n else {}
+    own, out = whole.where("term != ''"), []
     for k in range(FOLDS):
-        less = {t: (a - f.get(k, (0, 0))[0], b - f.get(k, (0, 0))[1]) for t, (a, b, f) in by.items()}
-        out.append(learn_lexicon(less, n_a - n_fold.get(k, (0, 0))[0], n_b - n_fold.get(k, (0, 0))[1]))
-    return [*out, learn_lexicon({t: (a, b) for t, (a, b, _) in by.items()}, n_a, n_b)]
+        less = own.select("term", *((F.col(c) - F.col(f"{c}{k}")).alias(c) for c in "ab"))
+        out.append(learn_lexicon(less, *(n.get(c, 0) - n.get(f"{c}{k}", 0) for c in "ab")))
+    return [*out, learn_lexicon(own.select("term", "a", "b"), n.get("a", 0), n.get("b", 0))]
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
@@ -219,7 +228,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
         own = lexicons.value
         yield from batched(((d, float(y), features(t or "", own[fold_of(d)])) for d, t, y in rows_of(batches, "doc_id", "text", "toxic")), schema)
 
-    got = sorted(rows.mapInArrow(run, "doc_id long, y double, x array<double>").collect(), key=lambda r: (r[0], r[1]))  # at most TRAIN_ROWS for unique ids
+    got = sorted(rows.mapInArrow(run, "doc_id long, y double, x array<double>").collect(), key=lambda r: (r[0], r[1]))  # TRAIN_ROWS at most
     y = np.array([r[1] for r in got])
     prior = float((y.sum() + 0.5) / (len(y) + 1))
     if len(y) < 20 or len(np.unique(y)) < 2:
