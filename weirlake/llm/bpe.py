@@ -4,10 +4,11 @@ Texts are cut into words by the tokenizer's pattern. Greedy longest match propos
 word. A proposal is right if each two adjacent tokens are what merging gives for their bytes alone; all
 adjacent pairs of all proposals of a batch are looked up at once, and pairs not met before are merged
 once. Only words with a pair that fails are merged exactly. Words and pairs are kept between batches
-in tables of bounded size.
+in tables of bounded size (words by their bytes).
 
-Null text is empty: no tokens. Texts are encoded whole, in pieces of memory that follow the longest
-text of a batch. Repeated rows give repeated results. An empty table gives an empty one.
+Null text is empty: no tokens. Null and repeated doc_ids are handed on; rows are independent of each other, so
+ties don't arise. Texts are encoded whole, in pieces of memory that follow the longest text of a batch. Repeated
+rows give repeated results. Further columns, whatever their names, are not read. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from weirlake.llm.common import arrow_rows, batched, only, rows_of
 
 #: How byte-level tokenizers cut text before merging; the pattern is part of the vocabulary's format.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-MOST_WORDS, MOST_PAIRS = 400_000, 1_000_000
+MOST_BYTES, MOST_PAIRS = 64 << 20, 1_000_000  # of words with their ids, and of pairs
 LONG_WORD = 64
 
 
@@ -38,12 +39,25 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def check_spec(spec: dict) -> None:
+    """Raise for what a vocabulary file can ask for and this encoder doesn't do."""
+    model, cut = spec["model"], spec.get("pre_tokenizer") or {}
+    wrong = [k for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges") if model.get(k)]
+    wrong += [k for k in ("lstrip", "rstrip", "single_word", "normalized") if any(t.get(k) for t in spec.get("added_tokens", []))]
+    wrong += ["normalizer"] if spec.get("normalizer") else []
+    wrong += ["pre_tokenizer"] if (cut.get("type"), cut.get("add_prefix_space"), cut.get("use_regex", True)) != ("ByteLevel", False, True) else []
+    wrong += ["model"] if model.get("type", "BPE") != "BPE" else []
+    if wrong:
+        raise ValueError(f"not a plain byte-level BPE file: {', '.join(wrong)}")
+
+
 class Codec:
     def __init__(self, path: str):
         import regex
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        check_spec(spec)
         letters = byte_letters()
         as_bytes = lambda s: bytes(letters[c] for c in s)
         vocab: dict[str, int] = spec["model"]["vocab"]
@@ -62,6 +76,7 @@ class Codec:
         self.words = regex.compile(PATTERN).findall
         self.split = regex.compile("(" + "|".join(regex.escape(x) for x in sorted(self.added, key=len, reverse=True)) + ")").split if self.added else None
         self.known: dict[str, bytes] = {}
+        self.held = 0  # bytes of known
         self.pairs: dict[int, bool] = {}
         self.exact = 0  # words that needed merging
 
@@ -140,6 +155,7 @@ class Codec:
         self.exact += int(wrong.sum())
         for w, own in zip(words, tokens, strict=True):
             self.known[w] = np.array(own, "<u4").tobytes()
+        self.held += sum(map(len, raw)) + 4 * sum(map(len, tokens)) + 150 * len(words)
 
     def fits(self, key: int) -> bool:
         """Whether merging the bytes of two tokens gives these tokens again."""
@@ -162,8 +178,9 @@ class Codec:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        if len(self.known) > MOST_WORDS:
+        if self.held > MOST_BYTES:
             self.known.clear()
+            self.held = 0
         if not self.known:
             self.known.update({s: np.array([i], "<u4").tobytes() for s, i in self.added.items()})
         known = self.known

@@ -4,8 +4,10 @@ Patterns find the base spans. Base64 and hex candidates are then decoded, and on
 key encoding (DER with nested lengths that add up, or length-prefixed SSH key data) or to the header
 of a signed token is reported as well.
 
-Nulls and empty texts have no spans. Very long texts are scanned whole; each pattern takes time in
-proportion to the text. Repeated rows give repeated results. An empty table gives an empty one.
+Nulls and empty texts have no spans. Null and repeated doc_ids are handed on. Of spans with one start, kinds go
+in the order of KINDS. Very long texts are scanned whole; each pattern takes time in proportion to the text.
+Repeated rows give repeated results. Further columns, whatever their names, are not read. An empty table gives an
+empty one.
 """
 
 from __future__ import annotations
