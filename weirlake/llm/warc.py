@@ -1,34 +1,39 @@
 """WARC archives and their index, merged externally.
 
-Writing: captures are sorted by URL key and time within each task and written as WARC files (gzip) by
-Spark's text writer, whose row end is WARC's record end; so archives go to any file system that Spark
-writes to, and its commit protocol covers lost tasks. Reading: each archive is parsed as a stream and
-gives one index run, sorted as its captures are. Merging: runs are dealt to ranges of (URL key, time,
-page) and each range merges its runs by a loser tree, so the whole is one ordered capture history.
+Writing: captures are sorted by URL key and time within each task, packed each as a gzip member of its own, and
+written by Spark's text writer, so archives go to any file system that Spark writes to and its commit protocol
+covers lost tasks. (A member ends with the top byte of its length, which is zero; that byte is the writer's row
+end.) Files are cut by bytes. Reading: each archive is unpacked member by member and gives one index run, sorted as
+its captures are, with the place and packed length of each record; read_record() reads one by these alone. Merging:
+runs are dealt to ranges of (URL key, time, page), as many as keep a range at about ROWS_A_RANGE rows, so what a
+task holds doesn't grow with the index; Spark's shuffle is the external storage. In each range the pieces of the
+runs, which come sorted, are merged by a loser tree, so the whole is one ordered capture history.
 
 Of records with equal payloads of at least min_payload bytes, that with the smallest page_id is a
 response and the others revisit it. Repeated rows of that smallest page_id are responses all. Null html
 is the empty payload; null urls are empty; a null page_id can't be referred to and is written as such.
-Whole payloads are hashed, however long. An empty table gives empty archives and an empty index.
+Whole payloads are hashed, however long; one record has to fit into memory. Further columns, whatever their names,
+are not read. An empty table gives empty archives and an empty index.
 """
 
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
-import io
 import re
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 from urllib.parse import urlsplit
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weirlake.llm.common import arrow_rows, batched, only, scratch, written
+from weirlake.llm.common import arrow_rows, batched, only, rows_of, scratch, written
 
 RECORD_END = "\r\n\r\n"
+MEMBER = (1 << 24) - 1  # of fewer bytes the top byte of the length is zero
+FILE_BYTES, ROWS_A_RANGE, CHUNK = 64 << 20, 500_000, 8 << 10
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -100,36 +105,81 @@ def record(with_payload: bool = True) -> Column:
     return F.concat(F.concat_ws("\r\n", *lines), F.lit(RECORD_END), block)
 
 
-def write_archives(rows: DataFrame, path: str, records_a_file: int = 2000) -> None:
-    """Rows of captures() as WARC files; the captures of a file are sorted by key, time and page."""
-    runs = rows.sortWithinPartitions("urlkey", "date", "page_id")
-    out = runs.select(record().alias("value")).write.option("lineSep", RECORD_END).option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED")
-    out.option("maxRecordsPerFile", records_a_file).text(path)
+def packed(record: bytes) -> bytes:
+    """A record as gzip members of which each ends with a zero byte: one, or more if it is 16 MB or longer."""
+    out = []
+    for k in range(0, max(1, len(record)), MEMBER):
+        pack = zlib.compressobj(1, zlib.DEFLATED, 31)
+        out.append(pack.compress(record[k : k + MEMBER]) + pack.flush())
+    return b"".join(out)
+
 
+def write_archives(rows: DataFrame, path: str, file_bytes: int = FILE_BYTES) -> None:
+    """Rows of captures() as WARC files; the captures of a file are sorted by key, time and page."""
 
-def parse(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], int, bytes]]:
-    """Header fields, place and block of each record."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        file = size = pos = 0
+        for b in batches:
+            values = [packed(r) for r in b.column(0).cast(pa.binary()).to_pylist()]
+            files = []
+            for v in values:
+                if size and size + len(v) > file_bytes:
+                    file, size = file + 1, 0
+                size += len(v)
+                files.append(file)
+            yield pa.record_batch([pa.array([v[:-1] for v in values], pa.binary()), pa.array(files, pa.int32()), pa.array(range(pos, pos + len(values)), pa.int64())], ["value", "file", "pos"])
+            pos += len(values)
+
+    arrow_rows(rows.sparkSession)
+    runs = rows.sortWithinPartitions("urlkey", "date", "page_id").select(F.concat(record(), F.lit(RECORD_END)).alias("record"))
+    out = runs.mapInArrow(run, "value binary, file int, pos long").sortWithinPartitions("file", "pos")
+    out.select(F.col("value").cast("string").alias("value"), "file").write.partitionBy("file").option("lineSep", "\0").text(path)
+
+
+def members(data: memoryview) -> Iterator[tuple[int, int, bytes]]:
+    """Start, end and content of each gzip member."""
     at = 0
-    while True:
-        line = stream.readline()
-        if not line:
-            return
-        start, at = at, at + len(line)
-        if line.strip() == b"":
+    while at < len(data):
+        start, unpack, parts = at, zlib.decompressobj(31), []
+        while not unpack.eof:
+            if at >= len(data):
+                raise ValueError(f"member at {start} is cut short")
+            parts.append(unpack.decompress(data[at : at + CHUNK]))
+            at = min(len(data), at + CHUNK)
+        at -= len(unpack.unused_data)
+        yield start, at, b"".join(parts)
+
+
+def fields(head: bytes) -> dict[str, str]:
+    """The header fields of a record, names in lower case."""
+    first, *lines = head.decode("utf-8", "surrogatepass").split("\r\n")
+    if not first.startswith("WARC/"):
+        raise ValueError(f"no WARC record: {first[:40]!r}")
+    pairs = (line.partition(":") for line in lines)
+    return {name.strip().lower(): value.strip() for name, _, value in pairs}
+
+
+def records(data: memoryview) -> Iterator[tuple[dict[str, str], int, int, bytes]]:
+    """Header fields, place, packed length and block of each record of an archive."""
+    start, held = 0, b""
+    for _, end, content in members(data):
+        held = held + content if held else content
+        head_end = held.find(RECORD_END.encode())
+        if head_end < 0:
             continue
-        if not line.startswith(b"WARC/"):
-            raise ValueError(f"no WARC record at {start}")
-        head: dict[str, str] = {}
-        while (line := stream.readline()) not in (b"\r\n", b""):
-            at += len(line)
-            name, _, value = line.decode("utf-8", "surrogatepass").partition(":")
-            head[name.strip().lower()] = value.strip()
-        at += len(line)
-        block = stream.read(int(head["content-length"]))
-        if len(block) < int(head["content-length"]):
-            raise ValueError(f"record at {start} is cut short")
-        at += len(block)
-        yield head, start, block
+        head = fields(held[:head_end])
+        size = int(head["content-length"])
+        if len(held) >= head_end + 8 + size:
+            yield head, start, end - start, held[head_end + 4 : head_end + 4 + size]
+            start, held = end, b""
+    if held:
+        raise ValueError(f"record at {start} is cut short")
+
+
+def read_record(data: bytes) -> tuple[dict[str, str], bytes]:
+    """Header fields and block of the one record in the bytes that an index row names: file, offset and length."""
+    head, _, _, block = next(records(memoryview(data)))
+    return head, block
 
 
 def page_of(uri: str | None) -> int | None:
@@ -138,12 +188,12 @@ def page_of(uri: str | None) -> int | None:
 
 
 INDEX_SCHEMA = pa.schema(
-    [("urlkey", pa.string()), ("date", pa.string()), ("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("archive", pa.string()), ("offset", pa.int64())]
+    [("urlkey", pa.string()), ("date", pa.string()), ("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("archive", pa.string()), ("offset", pa.int64()), ("length", pa.int64())]
 )
-INDEX_DDL = "urlkey string, date string, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, archive string, offset long"
+INDEX_DDL = "urlkey string, date string, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, archive string, offset long, length long"
 
 
-def index_entry(head: dict[str, str], start: int, block: bytes, archive: str) -> tuple:
+def index_entry(head: dict[str, str], start: int, length: int, block: bytes, archive: str) -> tuple:
     """An index row; a response's payload is measured and hashed anew and must be what its header says."""
     kind, digest, size = head["warc-type"], head["warc-payload-digest"].removeprefix("sha1:"), int(head["warc-payload-length"])
     if kind == "response":
@@ -152,7 +202,7 @@ def index_entry(head: dict[str, str], start: int, block: bytes, archive: str) ->
         if (got, len(payload)) != (digest, size):
             raise ValueError(f"payload at {start} of {archive} is not what its header says")
     refers = page_of(head.get("warc-refers-to")) if kind == "revisit" else None
-    return page_key(head["warc-target-uri"]), head["warc-date"], page_of(head["warc-record-id"]), size, digest, kind, refers, archive, start
+    return page_key(head["warc-target-uri"]), head["warc-date"], page_of(head["warc-record-id"]), size, digest, kind, refers, archive, start, length
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
@@ -162,15 +212,14 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
         def rows() -> Iterator[tuple]:
             for b in batches:
                 for name, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                    archive = urlsplit(name).path.rsplit("/", 1)[-1]
-                    with gzip.GzipFile(fileobj=pa.BufferReader(content.as_buffer())) as raw:
-                        for head, start, block in parse(io.BufferedReader(raw, 1 << 18)):
-                            yield index_entry(head, start, block, archive)
+                    archive = "/".join(urlsplit(name).path.rsplit("/", 2)[-2:])
+                    for head, start, length, block in records(memoryview(content.as_buffer())):
+                        yield index_entry(head, start, length, block, archive)
 
         yield from batched(rows(), INDEX_SCHEMA, 4096)
 
     arrow_rows(spark)
-    files = spark.read.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").load(path)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).schema("path string, modificationTime timestamp, length long, content binary").load(path)
     return files.select("path", "content").mapInArrow(run, INDEX_DDL)
 
 
@@ -207,32 +256,39 @@ def loser_tree_merge(runs: list[list[tuple]]) -> Iterator[tuple]:
             node //= 2
 
 
-def merge_index(index: DataFrame, partitions: int | None = None) -> DataFrame:
+def sorted_runs(rows: Iterator[tuple], run_of: Callable[[tuple], object], key: Callable[[tuple], tuple]) -> list[list[tuple]]:
+    """Rows as the sorted runs in which they come, as (key, row). A run whose next row is smaller has been sent in
+    several pieces, in any order; then another run begins."""
+    now: dict[object, list[tuple]] = {}
+    runs: list[list[tuple]] = []
+    for r in rows:
+        k, name = key(r), run_of(r)
+        own = now.get(name)
+        if own is None or k < own[-1][0]:
+            own = now[name] = []
+            runs.append(own)
+        own.append((k, r))
+    return runs
+
+
+def merge_index(index: DataFrame, rows_a_range: int = ROWS_A_RANGE) -> DataFrame:
     """Index runs as one history ordered by key, time and page over all partitions. Ranges are cut by
     the whole order, so a hot host or URL is split as well."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        runs: dict[str, list[tuple]] = {}
-        rest: dict[str, list[tuple]] = {}
-        for b in batches:
-            for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                key = (r[0], r[1], r[2] is not None, r[2] or 0, r[8])
-                runs.setdefault(r[7], []).append(key)
-                rest.setdefault(r[7], []).append(r)
-        order = sorted(runs)
-        keyed = [[(k, name, i) for i, k in enumerate(runs[name])] for name in order]
-        for own in keyed:
-            own.sort()  # a run comes in order; this only puts blocks of it in turn
-        yield from batched((rest[name][i] for _, name, i in loser_tree_merge(keyed)), INDEX_SCHEMA, 4096)
-
-    arrow_rows(index.sparkSession)
-    n = partitions or int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return index.repartitionByRange(n, "urlkey", "date", "page_id").mapInArrow(run, INDEX_DDL)
-
-
-def archive(pages: DataFrame, path: str | None = None, min_payload: int = 0) -> DataFrame:
+        key = lambda r: (r[0], r[1], r[2] is not None, r[2] or 0, r[7], r[8])
+        runs = sorted_runs(rows_of(batches, *INDEX_SCHEMA.names), lambda r: r[7], key)
+        yield from batched((r for _, r in loser_tree_merge(runs)), INDEX_SCHEMA, 4096)
+
+    spark = index.sparkSession
+    arrow_rows(spark)
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-index.count() // rows_a_range))
+    return index.repartitionByRange(n, "urlkey", "date", "page_id", "archive", "offset").mapInArrow(run, INDEX_DDL)
+
+
+def archive(pages: DataFrame, path: str | None = None, min_payload: int = 0, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Write pages as archives, read these back, and return the merged index."""
     spark = pages.sparkSession
     path = path or scratch(spark, "warc")
-    write_archives(captures(pages, min_payload), path)
+    write_archives(captures(pages, min_payload), path, file_bytes)
     return merge_index(written(read_archives(spark, path), "cdx"))
