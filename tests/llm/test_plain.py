@@ -48,7 +48,7 @@ def test_chat_reads_back(turns):
     form = chat.Formatter(tokenizer_path())
     text, ids, offsets, on = form(turns)
     assert [(r, t) for r, t, _, _ in chat.parse(text)] == turns
-    assert "".join(chat.masked_text(text, offsets, on)) == "".join(t for r, t in turns if r == "assistant")
+    assert "".join(chat.masked_text(text, chat.parse(text), offsets, on)) == "".join(t for r, t in turns if r == "assistant")
 
 
 @settings(deadline=None)
@@ -171,9 +171,49 @@ def test_quality_statistics(text):
     assert quality_rules.statistics(text.encode())[:5] == stats_by_force(text)
 
 
+@pytest.mark.parametrize("text", ["!" * 200_000, "you idiot " * 20_000, "a!" * 100_000, "A" * 200_000, "1$" * 100_000 + "a", "é" * 100_000])
+def test_toxicity_features_of_long_texts_take_time_in_proportion(text):
+    import time
+
+    start = time.perf_counter()
+    toxicity.features(text, {"idiot": 3.0})
+    assert time.perf_counter() - start < 3
+
+
+def test_nearness_to_the_second_person_equals_brute_force():
+    rnd = np.random.default_rng(3)
+    for _ in range(50):
+        at, second = (np.unique(rnd.integers(0, 80, rnd.integers(1, 12))) for _ in range(2))
+        assert toxicity.near_second(at, second) == sum(min(abs(i - j) for j in second) <= toxicity.NEAR for i in at)
+
+
+def test_files_that_ask_for_more_than_plain_bpe_are_refused():
+    plain = {"model": {"type": "BPE"}, "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}, "added_tokens": [{"content": "x", "lstrip": False}]}
+    bpe.check_spec(plain)
+    for more in ({"normalizer": {"type": "NFC"}}, {"model": {"ignore_merges": True}}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True}}, {"added_tokens": [{"content": "x", "lstrip": True}]}):
+        with pytest.raises(ValueError):
+            bpe.check_spec({**plain, **more})
+
+
+def test_words_are_kept_within_a_bound_of_bytes(library, monkeypatch):
+    monkeypatch.setattr(bpe, "MOST_BYTES", 2000)
+    codec = bpe.Codec(tokenizer_path())
+    for i in range(50):
+        text = f"word{i} " * 3 + "x" * 3000
+        assert np.frombuffer(codec.encode([text])[0], "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+        assert len(codec.known) < 20
+
+
+def test_items_short_and_long_have_edits_by_rate_alone():
+    item = "abcdefgh ijklm nopqr stu"  # 24 characters, one edit
+    assert [m[1] for m in decontam.Matcher([(1, item)]).matches("so abcdefgh ijklx nopqr stu it is")] == [1]
+    assert [m[1] for m in decontam.Matcher([(1, item)], 0.0).matches("so abcdefgh ijklx nopqr stu it is")] == []
+    assert [decontam.budget(n) for n in (19, 20, 31, 32, 40)] == [0, 1, 1, 1, 2]
+
+
 def test_repeats_alone_can_reject():
     usual = [1.5, 0.0, 0.0, 0.0, 0.1, 0.2, 0.95]
-    _, inverse = quality_rules.estimate(1, usual, [usual[i] * usual[j] for i, j in quality_rules.PAIRS], 1.0)
+    inverse = np.linalg.inv(quality_rules.scatter_of(1, usual, [usual[i] * usual[j] for i, j in quality_rules.PAIRS])[1]).ravel().tolist()
     text = "\n".join(line for k in range(20) for line in ("yes", "no", "so", "but", f"other{k}"))  # 80 % but for the first ones
     n, _, _, dups, repeated, vector = quality_rules.statistics(text.encode())
     assert (n, dups, repeated) == (100, 76, 0)
@@ -231,3 +271,30 @@ def test_connect_equals_all_pairs(lists, percent):
 
 def test_base32():
     assert base64.b32encode(hashlib.sha1(b"").digest()).decode() == "3I42H3S6NNFQ2MSVX7XZKYAYSCX5QBYJ"
+
+
+@settings(deadline=None, max_examples=60)
+@given(st.integers(0, 10_000), st.sampled_from([60, 80, 85, 95]), st.integers(2, 120))
+def test_pivots_connect_what_all_pairs_do(seed, percent, k):
+    """Versions of a few base sets, chains, and sets far from all: with cells, windows and far cells."""
+    rnd = np.random.default_rng(seed)
+    base = [rnd.choice(2000, 60, replace=False) for _ in range(1 + seed % 4)]
+    sets = []
+    for i in range(k):
+        own = set(base[rnd.integers(len(base))].tolist())
+        edits = int(rnd.integers(0, 22))
+        own = set(sorted(own)[edits:]) | set(rnd.choice(2000, edits, replace=False).tolist())
+        sets.append(np.array(sorted(own if i % 5 else rnd.choice(2000, 40).tolist()), np.uint64))
+    sets = [np.unique(s) for s in sets]
+    root = list(range(k))
+    for i in range(k):
+        for j in range(i):
+            if ngram_join.linked(len(np.intersect1d(sets[i], sets[j])), len(sets[i]), len(sets[j]), percent) and root[i] != root[j]:
+                root = [root[j] if r == root[i] else r for r in root]
+    got = list(range(k))
+    found = ngram_join.connect(list(range(k)), sets, [None] * k, percent)
+    for a, b in found:
+        assert ngram_join.linked(len(np.intersect1d(sets[a], sets[b])), len(sets[a]), len(sets[b]), percent)
+        got = [got[b] if r == got[a] else r for r in got]
+    assert len(found) == k - len(set(root))
+    assert {frozenset(i for i in range(k) if root[i] == r) for r in root} == {frozenset(i for i in range(k) if got[i] == r) for r in got}

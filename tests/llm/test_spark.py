@@ -30,7 +30,7 @@ DDL = "doc_id long, text string, lang string, source string, n_chars long"
 def odd(spark):
     """The odd rows with further columns whose names are used inside."""
     df = spark.createDataFrame(ODD, DDL)
-    return df.withColumns({c: F.lit(1) for c in ("score", "group", "_email", "cid", "spans", "term", "_key", "kept")})
+    return df.withColumns({c: F.lit(1) for c in ("score", "group", "_email", "cid", "spans", "term", "_key", "kept", "a.b", "_row", "_t1", "t1", "s1", "c0")})
 
 
 @pytest.fixture
@@ -77,6 +77,31 @@ def test_other_operators_on_odd_rows(spark, odd, none):
     assert quality_model.keep(odd).columns == odd.columns and quality_model.keep(none).count() == 0
 
 
+@pytest.mark.parametrize("name", ["quality_classifier", "ngram_jaccard_join", "benchmark_decontamination", "pii_sanitisation", "bpe_encoding_and_decoding"])
+def test_stages_on_odd_rows_and_empty_tables(spark, odd, none, tmp_path, name):
+    import corpus_pipeline as P
+
+    items_of(spark).write.parquet(str(tmp_path / "benchmark.parquet"))
+    stage = dict(P.STAGES)[name]
+    passage = spark.createDataFrame([(None, "has same text here in it", "en", "s", 1), (9, "same text", "en", "s", 1), (9, "same text here", "en", "s", 1)], DDL)
+    docs = odd.unionByName(passage, allowMissingColumns=True)
+    out = stage(spark, docs, str(tmp_path))
+    rows, own = out.collect(), [tuple(r) for r in docs.collect()]
+    if name == "bpe_encoding_and_decoding":
+        assert Counter(r.doc_id for r in rows) == Counter(r[0] for r in own)
+    else:
+        assert out.columns == docs.columns
+    if name in ("quality_classifier", "benchmark_decontamination", "ngram_jaccard_join"):
+        assert not Counter(map(tuple, rows)) - Counter(own)  # rows as they were
+    if name == "benchmark_decontamination":
+        assert Counter((r.doc_id, r.text) for r in rows) == Counter((r[0], r[1]) for r in own if "same text here" not in (r[1] or ""))
+    if name == "ngram_jaccard_join":
+        assert sum(r.text == "same text here" for r in rows) == 1 and {(9, "same text"), (None, "text without id")} <= {(r.doc_id, r.text) for r in rows}
+    if name == "pii_sanitisation":
+        assert Counter(r.doc_id for r in rows) == Counter(r[0] for r in own) and not any("@" in (r.text or "") for r in rows)
+    assert stage(spark, none, str(tmp_path)).count() == 0
+
+
 def test_encoded_texts_decode(spark, odd):
     back = bpe.decode(bpe.encode(odd, PATH), PATH).collect()
     assert Counter((r.doc_id, r.text) for r in back) == Counter((r[0], r[1] or "") for r in ODD)
@@ -138,6 +163,62 @@ def test_copies_are_no_evidence_against_a_term(spark):
     assert found[0] == found[1] and [t for t, _ in found[0]] == ["zorblatt"]
 
 
+def terms_by_force(texts, width, support, least):
+    """Terms with their share, counted over distinct texts one after another."""
+    import math
+
+    import regex
+
+    words = lambda t: set(regex.findall(r"\p{L}[\p{L}\p{N}_]{2,}", t.lower()))
+    texts = {t or "" for t in texts}
+    by_entity, by_pair = {}, {}
+    for t in texts:
+        for kind, a, b in base_pii(t):
+            value = f"{kind}:{t[a:b].lower() if kind in ('email', 'ip') else re.sub('[^0-9]', '', t[a:b])}"
+            before = t[:a] if a <= width else regex.sub(r"^[\p{L}\p{N}_]+", "", t[a - width : a])
+            near = before + " \n " + regex.sub(r"[\p{L}\p{N}_]+$", "", t[b : b + width])
+            by_entity.setdefault(value, set()).add((near, t))
+            for w in words(near):
+                by_pair.setdefault((value, w), set()).add((near, t))
+    enough = lambda found: min(len({c for c, _ in found}), len({t for _, t in found})) >= support
+    n_of = lambda found: len({t for _, t in found})
+    n_term = Counter(w for t in texts for w in words(t))
+    out = {}
+    for (value, w), found in by_pair.items():
+        if enough(found) and enough(by_entity[value]) and n_term[w]:
+            rare = len(texts) / n_of(by_entity[value])
+            share = math.log2(min(1, n_of(found) / n_term[w]) * rare) / math.log2(rare) if rare > 1 else 0
+            if share >= least:
+                out[w] = max(out.get(w, 0), share)
+    return out
+
+
+def test_terms_equal_brute_force(spark):
+    own = [r.text for r in table(spark, SMALL, "documents").select("text").collect()]
+    made = []
+    for e in range(12):  # entities in so many texts, each with terms of its own that also stand elsewhere
+        for i in range(e + 1):
+            made.append(f"the note {'abcdefghijkl'[i]}{e}x name{'abcdefghijkl'[e]}q wrote u{e}@mail.com and again u{e}@mail.com about tale{'abcdefghijkl'[e % 3]}z " + f"the end w{i}v " * 3)
+    made += [f"name{'abcdefghijkl'[e]}q elsewhere {i}" for e in range(12) for i in range(e % 4)]
+    texts = [*own, *made, *made[:20] * 3, None, ""]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    for width, support, least in ((120, 3, 0.8), (40, 2, 0.6), (120, 1, 0.9)):
+        want = terms_by_force(texts, width, support, least - 1e-9)
+        got = {r.term: r.share for r in pii.disclosing_terms(df, width, support, least).collect()}
+        assert {k for k, v in want.items() if v > least + 1e-9} <= set(got) <= set(want) and got
+        assert all(abs(got[k] - want[k]) < 1e-9 for k in got)
+
+
+def test_a_term_is_judged_by_texts_and_not_by_mentions_or_copies(spark):
+    """One text with an address three times is one piece of evidence; copies hide nothing."""
+    plain = [(i, f"plain number{chr(97 + i % 26)}{chr(97 + i // 26)}x text") for i in range(200)]
+    thrice = [(1000, " ".join(f"part{chr(97 + k)}q mumble own@mail.com part{chr(97 + k)}r." + " filler" * 40 for k in range(3)))]
+    six = [(2000 + i, f"letter{chr(97 + i)}q zorblatt zor@mail.com again{chr(97 + i)}q") for i in range(6)]
+    other = [(3000 + i, "zorblatt without it") for i in range(40)]
+    found = {r.term for r in pii.disclosing_terms(spark.createDataFrame(plain + thrice + six + other, "doc_id long, text string")).collect()}
+    assert found == {"zorblatt"}
+
+
 def components_by_force(texts, n, percent):
     sets = {}
     for i, t in texts:
@@ -155,7 +236,9 @@ def components_by_force(texts, n, percent):
     return {i: (len(sets[i]), root[i]) for i in sets}
 
 
-def test_join_equals_brute_force(spark):
+def test_join_equals_brute_force(spark, monkeypatch):
+    """With shingles hot from two documents on, so that both ways of dealing them are taken."""
+    monkeypatch.setattr(ngram_join, "HOT", 2)
     docs = table(spark, SMALL, "documents")
     want = components_by_force([(r.doc_id, r.text) for r in docs.collect()], 4, 85)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.join(docs, 4, 85).collect()}
@@ -208,6 +291,32 @@ def test_only_one_ball_is_connected_already(spark):
     assert {(r.cid, r.own) for r in ngram_join._in_blocks(sized).collect()} == {(c, c) for c in (10, 11, 14, 15)}
 
 
+def test_blocks_of_one_ball_are_not_compared(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "LEAF", 8)
+    rows = [(1, c, 3, 7 if c < 100 else 8 if c < 140 else 9 if c == 140 else None) for c in range(150)]
+    df = spark.createDataFrame([(*r, r[1], r[1], r[1]) for r in rows], "region long, cid long, n long, ball long, s1 long, s2 long, own long")
+    by = {}
+    for r in ngram_join._in_blocks(df).collect():
+        by.setdefault(r.region, set()).add(r.cid)
+    meet = {(a, b) for own in by.values() for a in own for b in own if a < b}
+    ball = {r[1]: r[3] for r in rows}
+    assert {(a, b) for a in ball for b in ball if a < b and (ball[a] is None or ball[b] is None or ball[a] != ball[b])} <= meet
+    # Of the largest ball's 25 blocks no two were brought together.
+    assert sum(1 for a, b in meet if ball[a] == ball[b] == 7) < 100 * 99 / 2 / 10
+
+
+def test_rows_of_one_component(spark):
+    """One row stays of each component, whatever ids the rows have."""
+    text = " ".join(f"w{i}" for i in range(40))
+    near = text.replace("w39", "x")
+    rows = [(2, near, 1), (1, text, 2), (1, text, 3), (None, text, 4), (None, text, 5), (3, "other words of its own here", 6), (3, near, 7), (5, "", 8), (5, "", 9), (None, "alone by itself in this table", 10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, `a.b` long").withColumn("t1", F.lit(0)).withColumn("cid", F.lit(0))
+    out = ngram_join.deduplicate(df, 4, 85)
+    assert out.columns == df.columns
+    got = out.collect()
+    assert sorted((r.doc_id or 0, r.text) for r in got) == [(0, "alone by itself in this table"), (1, text), (3, "other words of its own here"), (5, ""), (5, "")]
+
+
 def test_archives(spark, tmp_path):
     pages = [(3, "http://b.example/x", "same"), (1, "https://a.example/", "same"), (2, None, None), (4, "http://www.a.example:80/y?q#z", "é\r\n\r\nWARC/1.1\r\n"), (5, "u", ""), (4, "http://a.example/y", "é\r\n\r\nWARC/1.1\r\n"), (None, "n", "other")]
     df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("date", F.lit(1))
@@ -221,9 +330,32 @@ def test_archives(spark, tmp_path):
     assert warc.archive(df.limit(0), str(tmp_path / "e")).count() == 0
 
 
+def test_records_by_place_and_merges_of_many_ranges(spark, tmp_path):
+    """Each record is read by file, place and length alone; files are cut by bytes; ranges hold few rows each."""
+    big = "<p>" + "".join(chr(97 + i * i % 26) for i in range(60_000)) * 300  # over 16 MB
+    pages = [(i, f"http://h{i % 7}.example/p{i % 50}", f"body {i % 300} " * 20) for i in range(1000)] + [(5000, "http://big.example/", big)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)
+    index = warc.archive(df, str(tmp_path / "w"), file_bytes=8000)
+    rows = index.collect()
+    assert len({r.archive for r in rows}) > 10 and Counter(r.page_id for r in rows) == Counter(p[0] for p in pages)
+    html = {p[0]: p[2] for p in pages}
+    for r in [*rows[::97], next(r for r in rows if r.page_id == 5000)]:
+        with open(tmp_path / "w" / r.archive, "rb") as f:
+            f.seek(r.offset)
+            head, block = warc.read_record(f.read(r.length))
+        assert head["warc-record-id"] == f"<urn:page:{r.page_id}>" and block.endswith(b"\r\n\r\n" + (html[r.page_id].encode() if r.record_type == "response" else b""))
+    merged = warc.merge_index(spark.createDataFrame(rows[::-1], index.schema), rows_a_range=50)
+    parts = merged.rdd.glom().map(lambda p: [(r.urlkey, r.date, r.page_id) for r in p]).collect()
+    assert sum(map(bool, parts)) > 10 and [x for p in parts for x in p] == sorted((r.urlkey, r.date, r.page_id) for r in rows)
+    assert max(map(len, parts)) < 200
+
+
 def test_conversations(spark):
-    rows = [(1, 0, "user", "</s>[INST] hi"), (1, 1, "assistant", "yo <|im_end|>\n"), (1, 1, "assistant", "yo <|im_end|>\n"), (2, None, None, None), (None, 3, "assistant", "é😀"), (3, 0, "assistant", LONG)]
-    out = {r.conv_id: r for r in chat.digests(chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), PATH)).collect()}
+    rows = [(1, 0, "user", "</s>[INST] hi"), (1, 1, "assistant", "yo <|im_end|>\n"), (1, 1, "assistant", "yo <|im_end|>\n"), (2, None, None, None), (None, 3, "assistant", "é😀"), (None, 3, "assistant", "é😀"), (3, 0, "assistant", LONG)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({"ids": F.lit(1), "a.b": F.lit(2)})
+    own = chat.digests(chat.format_conversations(df, PATH)).collect()
+    out = {r.conv_id: r for r in own}
+    assert len(own) == 5  # rows without conv_id are conversations of their own
     assert {k: (r.n_turns, r.loss_chars) for k, r in out.items()} == {1: (3, 28), 2: (1, 0), None: (1, 2), 3: (1, len(LONG))}
     assert out[1].loss_sha256 == hashlib.sha256(b"yo <|im_end|>\n" * 2).hexdigest()
     assert chat.format_conversations(spark.createDataFrame([], "conv_id long, turn long, role string, text string"), PATH).count() == 0
@@ -277,8 +409,40 @@ def test_rules_by_group_size(spark):
     assert all(r.kept for r in out)  # a small group of its own kind
     one = [*rows[:400], (1000, shouting[0], "en", "s")]
     assert [r.doc_id for r in quality_rules.judge(spark.createDataFrame(one, RULES_DDL)).where("not kept").collect()] == [1000]
-    few = [*rows[:100], (1000, shouting[0], "en", "s")]
-    assert all(r.kept for r in quality_rules.judge(spark.createDataFrame(few, RULES_DDL)).collect())  # too few rows for any estimate
+    few = [*rows[:12], (1000, shouting[0], "en", "s")]
+    assert all(r.kept for r in quality_rules.judge(spark.createDataFrame(few, RULES_DDL)).collect())  # too few rows to know what is usual
+
+
+def test_least_determinant_equals_brute_force():
+    from itertools import combinations
+
+    import numpy as np
+
+    for seed, n in ((1, 10), (2, 11), (3, 12)):
+        rng = np.random.default_rng(seed)
+        x = rng.normal(0, 0.3, (n, len(quality_rules.XS)))
+        x[: n // 5] += 2  # a cluster of outliers
+        det = lambda rows: np.linalg.slogdet(np.cov(x[list(rows)], rowvar=False, bias=True) * quality_rules.CONSISTENCY + np.diag(quality_rules.FLOORS**2))[1]
+        least = min(det(r) for r in combinations(range(n), quality_rules.half(n)))
+        assert abs(quality_rules.starts(x)[0][0] - least) < 1e-9
+
+
+def test_a_fifth_of_clustered_outliers_is_rejected(spark):
+    """In a large group of its own (more rows than a start's sample), with vectors made for it."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    for share in (0.05, 0.15, 0.2, 0.24):
+        n = 3000
+        x = rng.normal(0, 0.1, (n, len(quality_rules.XS))) + 0.5
+        bad = int(n * share)
+        x[:bad] = rng.normal(0, 0.01, (bad, len(quality_rules.XS))) + np.array([0.5, 0.5, 0.5, 0.5, 1.6, 1.2, 0.5])
+        rows = [(i, "g", "en", *map(float, v)) for i, v in enumerate(x)]
+        good = spark.createDataFrame(rows, "row long, group string, of string, " + ", ".join(f"{c} double" for c in quality_rules.XS))
+        table = quality_rules._mixed(quality_rules.determinant_estimates(good))
+        out = quality_rules._distance(good, table).select("row", "d2").collect()
+        wrong = [r.row for r in out if (r.d2 > quality_rules.CUTOFF) != (r.row < bad)]
+        assert len(wrong) < n / 500, (share, len(wrong))
 
 
 def test_pipeline_stages_equal_brute_force(spark):
