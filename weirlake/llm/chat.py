@@ -5,9 +5,10 @@ are intersected with the sorted spans of its tokens by binary search. Control st
 a backslash after their bracket, which reading takes away again.
 
 Turns go by turn number, then role, then text, so ties and repeated rows have one order; null turns
-come first. Null roles and texts are empty. All rows with a null conv_id form one conversation. A
-conversation is rendered in one task, as its text is one value; tasks stream over conversations and
-hold one at a time. An empty table gives an empty one.
+come first. Null roles and texts are empty. A row with a null conv_id is a conversation by itself, so that
+such rows are no group that grows with the table. A conversation is rendered in one task, as its text is one
+value; tasks stream over conversations and hold one at a time. Further columns, whatever their names, are not
+read. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -16,7 +17,8 @@ import hashlib
 import os
 import re
 from collections.abc import Iterator
-from itertools import groupby
+from functools import lru_cache
+from itertools import chain, count, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -49,8 +51,15 @@ def unescape_role(role: str) -> str:
     return re.sub(r"\\(.)", lambda m: "\n" if m[1] == "n" else m[1], unescape(role))
 
 
-def render(turns: list[tuple[str, str]]) -> str:
-    return "".join(f"{START}{escape_role(r)}\n{escape(t)}{END}\n" for r, t in turns)
+def render(turns: list[tuple[str, str]]) -> tuple[str, np.ndarray]:
+    """The text, and the span of each turn's escaped text in it."""
+    parts, spans, at = [], [], 0
+    for role, text in turns:
+        head, body = f"{START}{escape_role(role)}\n", escape(text)
+        spans.append((at + len(head), at + len(head) + len(body)))
+        parts += [head, body, END, "\n"]
+        at += len(head) + len(body) + len(END) + 1
+    return "".join(parts), np.array(spans, np.int64).reshape(-1, 2)
 
 
 def parse(formatted: str) -> list[tuple[str, str, int, int]]:
@@ -76,24 +85,23 @@ def mask(offsets: np.ndarray, spans: np.ndarray) -> np.ndarray:
     return out
 
 
-def masked_text(formatted: str, offsets: np.ndarray, on: np.ndarray) -> list[str]:
+def masked_text(formatted: str, turns: list[tuple[str, str, int, int]], offsets: np.ndarray, on: np.ndarray) -> list[str]:
     """What is under the mask in each turn that it touches, unescaped: tokens cut at the turn's ends;
     tokens that share a character (parts of one code point) give it once."""
-    spans = np.array([(a, b) for _, _, a, b in parse(formatted)], np.int64).reshape(-1, 2)
     held = offsets[on]
     out = []
     if len(held):
-        first = np.searchsorted(held[:, 1], spans[:, 0], "right")
-        last = np.searchsorted(held[:, 0], spans[:, 1], "left")
-        for (a, b), i, j in zip(spans, first, last, strict=True):
-            parts, at = [], int(a)
-            for x, y in held[i:j]:
-                x, y = max(int(x), at), min(int(y), int(b))
-                if y > x:
-                    parts.append(formatted[x:y])
-                    at = y
-            if parts:
-                out.append(unescape("".join(parts)))
+        first = np.searchsorted(held[:, 1], [t[2] for t in turns], "right")
+        last = np.searchsorted(held[:, 0], [t[3] for t in turns], "left")
+        # Places where a token begins beyond all before it: between them the text runs on.
+        reach = np.maximum.accumulate(held[:, 1])
+        gaps = np.flatnonzero(held[1:, 0] > reach[:-1]) + 1
+        for (_, _, a, b), i, j in zip(turns, first.tolist(), last.tolist(), strict=True):
+            if i < j:
+                cuts = [i, *gaps[np.searchsorted(gaps, i, "right") : np.searchsorted(gaps, j, "left")].tolist(), j]
+                parts = [formatted[max(int(held[x, 0]), a) : min(int(held[x:y, 1].max()), b)] for x, y in zip(cuts, cuts[1:], strict=False)]
+                if any(parts):
+                    out.append(unescape("".join(parts)))
     return out
 
 
@@ -108,11 +116,17 @@ class Formatter:
 
     def __call__(self, turns: list[tuple[str, str]]) -> tuple[str, list[int], np.ndarray, np.ndarray]:
         """The text, token ids, token offsets and loss mask."""
-        formatted = render(turns)
+        formatted, spans = render(turns)
         got = self.tokenizer.encode(formatted, add_special_tokens=False)
-        offsets = np.array(got.offsets, np.int64).reshape(-1, 2)
-        spans = np.array([(a, b) for r, _, a, b in parse(formatted) if r in self.loss_roles and b > a], np.int64).reshape(-1, 2)
-        return formatted, got.ids, offsets, mask(offsets, spans)
+        offsets = np.fromiter(chain.from_iterable(got.offsets), np.int64, 2 * len(got)).reshape(-1, 2)
+        own = np.array([r in self.loss_roles for r, _ in turns], bool) & (spans[:, 1] > spans[:, 0])
+        return formatted, got.ids, offsets, mask(offsets, spans[own])
+
+
+@lru_cache(1)
+def formatter_of(tokenizer_path: str, loss_roles: tuple[str, ...]) -> Formatter:
+    """One for each worker process, kept from task to task."""
+    return Formatter(tokenizer_path, loss_roles)
 
 
 SCHEMA = pa.schema([("conv_id", pa.int64()), ("formatted", pa.string()), ("ids", pa.list_(pa.int32())), ("starts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32())), ("loss_mask", pa.list_(pa.bool_()))])
@@ -123,17 +137,18 @@ def format_conversations(turns: DataFrame, tokenizer_path: str, loss_roles: tupl
     """A row for each conversation of (conv_id, turn, role, text): text, ids, token offsets, mask."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        form = Formatter(tokenizer_path, loss_roles)
+        form = formatter_of(tokenizer_path, tuple(loss_roles))
 
         def rows() -> Iterator[tuple]:
-            for conv_id, own in groupby(rows_of(batches, "conv_id", "role", "text"), key=lambda r: r[0]):
+            alone = count()  # a row without conv_id is a conversation by itself
+            for (conv_id, _), own in groupby(rows_of(batches, "conv_id", "role", "text"), key=lambda r: (r[0], next(alone) if r[0] is None else 0)):
                 text, ids, offsets, on = form([(r or "", t or "") for _, r, t in own])
                 yield conv_id, text, ids, offsets[:, 0], offsets[:, 1], on
 
         yield from batched(rows(), SCHEMA, 100)
 
     arrow_rows(turns.sparkSession)
-    ordered = only(turns, "conv_id", "turn", "role", "text").repartition("conv_id").sortWithinPartitions("conv_id", "turn", F.coalesce("role", F.lit("")), F.coalesce("text", F.lit("")))
+    ordered = only(turns, "conv_id", "turn", "role", "text").repartition("conv_id", F.when(F.col("conv_id").isNull(), F.xxhash64("turn", "role", "text"))).sortWithinPartitions("conv_id", "turn", F.coalesce("role", F.lit("")), F.coalesce("text", F.lit("")))
     return ordered.mapInArrow(run, DDL)
 
 
@@ -149,14 +164,16 @@ def digests(formatted: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
             for b in batches:
-                for r in b.to_pylist():
-                    turns = parse(r["formatted"])
-                    offsets = np.stack([np.array(r["starts"], np.int64), np.array(r["ends"], np.int64)], 1)
-                    on = np.array(r["loss_mask"], bool)
-                    loss = "".join(masked_text(r["formatted"], offsets, on))
-                    said = "".join(f"{role}\n{text}\n" for role, text, _, _ in turns)
+                texts, ids = b.column(1).to_pylist(), b.column(0).to_pylist()
+                at = b.column(3).offsets.to_numpy()
+                offsets = np.stack([b.column(k).values.to_numpy(zero_copy_only=False) for k in (3, 4)], 1)
+                under = b.column(5).values.to_numpy(zero_copy_only=False)
+                for k, (conv_id, text) in enumerate(zip(ids, texts, strict=True)):
+                    turns, on = parse(text), under[at[k] : at[k + 1]]
+                    loss = "".join(masked_text(text, turns, offsets[at[k] : at[k + 1]], on))
+                    said = "".join([f"{role}\n{t}\n" for role, t, _, _ in turns])
                     sha = [hashlib.sha256(x.encode("utf-8", "surrogatepass")).hexdigest() for x in (said, loss)]
-                    yield r["conv_id"], len(turns), sha[0], len(loss), sha[1], len(r["formatted"]), len(on), int(on.sum())
+                    yield conv_id, len(turns), sha[0], len(loss), sha[1], len(text), len(on), int(on.sum())
 
         yield from batched(rows(), DIGEST_SCHEMA)
 
