@@ -205,9 +205,9 @@ def _lexicons(train: DataFrame) -> list[dict[str, float]]:
 
     counts = train.mapInArrow(run, "term string, fold long, a long, b long").groupBy("term", "fold").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     folds = [F.sum(F.when(F.col("fold") == k, F.col(c)).otherwise(0)).alias(f"{c}{k}") for k in range(FOLDS) for c in "ab"]
-    whole = written(counts.groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), *folds).where(F.col("a") >= LEAST_DOCS).unionByName(
-        counts.where("term = ''").groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), *folds).where(F.col("a") < LEAST_DOCS)
-    ), "terms")
+    # What too few toxic texts have can be in no lexicon; the empty term stands for the texts themselves.
+    whole = counts.groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), *folds)
+    whole = written(whole.where((F.col("a") >= LEAST_DOCS) | (F.col("term") == "")), "terms")
     n = whole.where("term = ''").first()
     n = n.asDict() if n else {}
     own, out = whole.where("term != ''"), []
