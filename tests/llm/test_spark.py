@@ -473,3 +473,23 @@ def test_pipeline_stages_equal_brute_force(spark):
         ids = codec.encode([four[r.doc_id].text])[0]
         assert (r.n_tokens, r.ids_sha256) == (len(ids) // 4, hashlib.sha256(ids).hexdigest()) and r.decoded_sha256 == hashlib.sha256(four[r.doc_id].text.encode()).hexdigest()
     assert P.ORACLE_SQL is None
+
+
+def test_deduplication_shuffles_no_text_that_must_stay(spark):
+    """Whole rows that no table row can ask for are read and written, also where no table may be broadcast."""
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    was = spark.conf.get(key)
+    text = lambda i: " ".join(f"w{i}x{k}" for k in range(30))
+    data = [(i, text(i)) for i in range(40)] + [(100 + i, text(i)) for i in range(5)] + [(7, text(7)), (None, None), (201, None), (201, None), (202, "")]
+    try:
+        spark.conf.set(key, "-1")
+        for rows in (data, list(dict.fromkeys(data))):
+            out = ngram_join.deduplicate(spark.createDataFrame(rows, "doc_id long, text string"), n=5, percent=80)
+            plan = out._jdf.queryExecution().executedPlan().toString()
+            first = plan.split("Union", 1)[1].split("ArrowEvalPython", 1)[0]
+            assert "Exchange" not in first and "Join" not in first
+            got = sorted((-1 if r.doc_id is None else r.doc_id, r.text or "") for r in out.collect())
+            stay = sorted([(i, text(i)) for i in range(40)] + [(-1, ""), (201, ""), (202, "")] + [(201, "")] * (rows is data))
+            assert got == stay
+    finally:
+        spark.conf.set(key, was)

@@ -33,6 +33,7 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -209,6 +210,17 @@ def _row_hash(doc_id: pa.Array, s1: pa.Array, s2: pa.Array) -> np.ndarray:
         return W.mix(W.mix(parts[0] * W.STEP + parts[1]) + parts[2])
 
 
+def _may_be(wanted, bits: int):
+    """Whether the table of _needed_bits() has a row by its two keys, as a function of columns."""
+
+    @F.pandas_udf("boolean")
+    def run(t1: pd.Series, t2: pd.Series) -> pd.Series:
+        zero = pa.array(np.zeros(len(t1), np.int64))
+        return pd.Series(_has(wanted.value, place(_row_hash(pa.array(t1), pa.array(t2), zero), bits)))
+
+    return run
+
+
 def _sets_of(docs: DataFrame, n: int, needed, bits: int) -> DataFrame:
     """doc_id, signature and set of the documents that the table has."""
     schema = pa.schema([("doc_id", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("set", pa.list_(pa.int64()))])
@@ -671,6 +683,14 @@ def deduplicate(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     kept = written(kept, "kept")
     gone = written(some.select(*ROW).distinct().join(kept, [*ROW], "left_anti"), "gone")
     again = written(some.join(kept.where("rows > 1").select(*ROW), [*ROW]).groupBy(*ROW).count().where("count > 1").select(*ROW), "again")
-    rows = docs.select(packed(docs), *row_key(ROW)).join(gone, [*ROW], "left_anti")
-    one = rows.join(again, [*ROW], "left_semi").dropDuplicates([*ROW])
-    return unpacked(rows.join(again, [*ROW], "left_anti").unionByName(one), docs.columns)
+    # Whole texts are shuffled only where a table of bits lets their row be one of these.
+    special = gone.unionByName(again)
+    bits = bits_for(special.count())
+    hit = _may_be(docs.sparkSession.sparkContext.broadcast(_needed_bits(special.select(*ROW, F.lit(0).cast("long")), bits)), bits)
+    rows = docs.select(packed(docs), *row_key(ROW)).withColumn("hit", hit(*ROW))
+    asked = rows.where("hit").join(gone, [*ROW], "left_anti")
+    out = rows.where("not hit")
+    if again.isEmpty():
+        return unpacked(out.unionByName(asked), docs.columns)
+    one = asked.join(again, [*ROW], "left_semi").dropDuplicates([*ROW])
+    return unpacked(union_all([out, asked.join(again, [*ROW], "left_anti"), one]), docs.columns)
